@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.knn import nearest_neighbours, neighbour_pairs
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.tokenize import encode_texts
 from tidemark.sources.tables import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries of which one is among the other's ten most similar."""
+    return neighbour_pairs(nearest_neighbours(table(spark, sf_dir, "entries")))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, sf_dir, "documents"))
@@ -19,5 +25,5 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
