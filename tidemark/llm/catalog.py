@@ -5,11 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.knn import nearest_neighbours, neighbour_pairs
+from tidemark.llm.neardup import all_pairs, groups, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.tokenize import encode_texts
 from tidemark.sources.tables import table
 
 
+#: TESTDATA.md's case: three words, likeness 0.6, at least 30 features.
+P2 = {"width": 3, "threshold": 0.6, "least": 30}
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries alike enough, copies written out."""
+    return all_pairs(*near_duplicates(table(spark, sf_dir, "entries"), **P2))
+
+
+def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The groups the pairs form: one row per entry with a partner."""
+    return groups(*near_duplicates(table(spark, sf_dir, "entries"), **P2))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of entries of which one is among the other's ten most similar."""
     return neighbour_pairs(nearest_neighbours(table(spark, sf_dir, "entries")))
@@ -25,5 +40,5 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
