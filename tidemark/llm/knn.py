@@ -107,12 +107,13 @@ def _route(index: Index, keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
             some = ms[lst] > m
             rows.append((cell(lst[some], np.full(some.sum(), m), mine[some]), at[some], 2))
     cells = np.concatenate([r[0] for r in rows])
-    take = np.concatenate([r[1] for r in rows])
+    take = np.concatenate([r[1] for r in rows])  # members first, then mere queries
     role = np.concatenate([np.full(len(r[1]), r[2], np.int8) for r in rows])
-    vec = np.ascontiguousarray(x[take])
-    width = vec.shape[1] * 4
-    vecs = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer((np.arange(len(take) + 1) * width).astype(np.int32)), pa.py_buffer(vec)])
+    # Members travel as float32; a mere query as float16, the same rounding in every list it visits.
     member = role != 2
+    full, half = np.ascontiguousarray(x[take[member]]), np.ascontiguousarray(x[take[~member]].astype(np.float16))
+    ends = np.cumsum(np.where(member, x.shape[1] * 4, x.shape[1] * 2))
+    vecs = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(full.tobytes() + half.tobytes())])
     lens = np.where(member, code.shape[1], 0)
     codes = pa.Array.from_buffers(
         pa.binary(), len(take), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(code[take[member]]))]
@@ -130,16 +131,18 @@ def _search(index: Index, table: pa.Table, k: int, rerank: int) -> pa.Table:
     t = table.combine_chunks()
     role = t["role"].to_numpy()
     keys = t["key"].to_numpy()
-    vec = _matrix(t["vec"].combine_chunks() if isinstance(t["vec"], pa.ChunkedArray) else t["vec"], np.float32, dim)
     is_member = (role & 1) == 1
     is_query = (role & 2) == 2
-    mkeys, mvec = keys[is_member], vec[is_member]
-    qkeys, qvec = keys[is_query], vec[is_query]
+    mkeys = keys[is_member]
+    mvec = _matrix(t["vec"].filter(pa.array(is_member)), np.float32, dim)
+    only = _matrix(t["vec"].filter(pa.array(~is_member)), np.float16, dim).astype(np.float32)
+    qkeys = np.r_[keys[is_member & is_query], keys[~is_member]]
+    qvec = np.concatenate([mvec[is_query[is_member]], only])
     schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("sim", pa.float32()), ("id", pa.int64())])))])
     m = len(mkeys)
     if not m or not len(qkeys):
         return schema.empty_table()
-    codes = _matrix(t.filter(pa.array(is_member))["code"].combine_chunks(), np.uint8, SUBSPACES)
+    codes = _matrix(t["code"].filter(pa.array(is_member)), np.uint8, SUBSPACES)
     width = dim // SUBSPACES
     top = min(rerank, m)
     keep = min(k + 1, top)
