@@ -7,10 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.knn import nearest_neighbours, neighbour_pairs
 from tidemark.llm.neardup import all_pairs, groups, near_duplicates
 from tidemark.llm.packing import pack_documents
+from tidemark.llm.subset import varied_subset
 from tidemark.llm.tokenize import encode_texts
 from tidemark.sources.tables import table
 
 
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied subset for every request."""
+    return varied_subset(table(spark, sf_dir, "entries"), table(spark, sf_dir, "subset_request"))
+
+
 #: TESTDATA.md's case: three words, likeness 0.6, at least 30 features.
 P2 = {"width": 3, "threshold": 0.6, "least": 30}
 
@@ -40,5 +46,5 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
