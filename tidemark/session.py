@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,10 +41,31 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """``checkpoint()`` into the shared folder: later jobs do not depend on any executor's disk."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table into the shared folder and read it back.
+
+    Later jobs then depend on no executor's disk, and nothing is computed twice: ``checkpoint()`` runs the
+    plan once to count and again to write, and its files are several times larger than Parquet.  The
+    tables are removed when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def _remove_written() -> None:
+    for spark, path in _WRITTEN:
+        try:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: the folder's owner cleans up
+            return
 
 
 def partitions_for(spark: SparkSession, rows: int, per_partition: int) -> int:
