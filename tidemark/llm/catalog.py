@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.llm.garble import garbled_documents
 from tidemark.llm.knn import nearest_neighbours, neighbour_pairs
 from tidemark.llm.neardup import all_pairs, groups, near_duplicates
 from tidemark.llm.packing import pack_documents
@@ -46,5 +47,15 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_spec"))
 
 
-QUERIES = {"p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold garbled text."""
+    return garbled_documents(table(spark, sf_dir, "documents"), whole=False).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The garbled documents with their chains and, where nothing was lost, the original text."""
+    return garbled_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
