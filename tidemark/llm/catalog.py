@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.garble import garbled_documents
 from tidemark.llm.knn import nearest_neighbours, neighbour_pairs
+from tidemark.llm.langid import entry_languages, entry_segments, language_cases
 from tidemark.llm.neardup import all_pairs, groups, near_duplicates
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.subset import varied_subset
@@ -37,6 +38,25 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(nearest_neighbours(table(spark, sf_dir, "entries")))
 
 
+def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return entry_segments(table(spark, sf_dir, "entries"), table(spark, sf_dir, "entry_langs"), table(spark, sf_dir, "lang_alias"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of the entries whose declaration is missing or wrong, or that mix languages."""
+    return language_cases(*_segments(spark, sf_dir))
+
+
+def p4_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry's languages with a confidence."""
+    return entry_languages(_segments(spark, sf_dir)[0])
+
+
+def p4_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment of every entry: field, first word, words, language, confidence."""
+    return _segments(spark, sf_dir)[0].selectExpr("id", "inline(segments)").withColumnRenamed("first", "first_word")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     return encode_texts(table(spark, sf_dir, "documents"))
@@ -57,5 +77,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
+QUERIES = {"p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p8_found": p8_found, "p8_restored": p8_restored, "p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
 ORACLE: dict[str, str] = {}
