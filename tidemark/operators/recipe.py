@@ -18,6 +18,7 @@ CAP_WORD, CAP_PHRASE, CAP_SOURCE, FLOOR = 0.12, 0.24, 0.08, 0.01
 TARGET, LEAST_MEDIAN = 2.0, 0.01
 BOOST_WORD, BOOST_PHRASE, NEW_WORD, NEW_PHRASE, NEW_CLASS = 1.5, 1.8, 0.1, 0.16, 0.08
 PATTERN_LEAD, PATTERN_IMPORTANT = 0.35, 0.15
+BOOST_LIMIT = 1_000_000_000  # boosts compound with every mention; decimals need a bound
 
 BROADCAST_ROWS = 100_000
 
@@ -212,16 +213,15 @@ def reasoning_boost(recipe: DataFrame, reasons: DataFrame) -> DataFrame:
     known = old.select("term").distinct().withColumn("known", F.lit(True))
     j = many.join(known, "term", "left").join(old, ["term", "class"], "full")
     phrase = F.instr("term", " ") > 0
-    boost = F.when(phrase, BOOST_PHRASE).otherwise(BOOST_WORD)
-    start = (
-        F.when(F.col("weight").isNotNull(), F.col("weight").cast("double"))
-        .when(F.col("known").isNull() & (F.col("opener") == F.col("class")), F.when(phrase, NEW_PHRASE).otherwise(NEW_WORD) / boost)
-        .otherwise(F.lit(NEW_CLASS))
-    )
-    # the first mention of a new term sets its base, so it is one multiplication short; base / boost * boost is that base
-    steps = F.coalesce("n", F.lit(0))
-    folded = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps.cast("int"))).otherwise(F.array().cast("array<int>")), start, lambda a, _: F.round(a * boost, 4))
-    boosted = j.select(F.lit("keyword").alias("kind"), "term", "class", folded.cast(DECIMAL).alias("weight"))
+    dec = lambda x: F.lit(x).cast(DECIMAL)
+    boost = F.when(phrase, dec(BOOST_PHRASE)).otherwise(dec(BOOST_WORD))
+    opens = F.col("weight").isNull() & F.col("known").isNull() & (F.col("opener") == F.col("class"))
+    start = F.coalesce(F.col("weight"), F.when(opens, F.when(phrase, dec(NEW_PHRASE)).otherwise(dec(NEW_WORD))).otherwise(dec(NEW_CLASS)))
+    # the first mention of a new term sets its base and multiplies nothing; no weight needs more steps to reach the limit
+    steps = F.least(F.lit(200), F.coalesce("n", F.lit(0)) - F.coalesce(opens.cast("int"), F.lit(0))).cast("int")
+    mentions = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
+    folded = F.aggregate(mentions, start.cast(DECIMAL), lambda a, _: F.greatest(dec(-BOOST_LIMIT), F.least(dec(BOOST_LIMIT), F.round(a * boost, 4))).cast(DECIMAL))
+    boosted = j.select(F.lit("keyword").alias("kind"), "term", "class", folded.alias("weight"))
     return boosted.unionByName(recipe.where("kind != 'keyword'").select("kind", "term", "class", "weight"))
 
 

@@ -411,11 +411,11 @@ _REASON = f"""g AS (SELECT label, updated_at, entry_type, entry_id, term, count(
  (SELECT label, updated_at, entry_type, entry_id, {WORDS.format("reasoning")} AS w FROM l WHERE profile_id = {PROFILE} AND coalesce(reasoning, '') <> '')) WHERE NOT (NOT contains(term, ' ') AND (length(term) < 3 OR term IN ({", ".join(f"'{w}'" for w in recipe.LOW_SIGNAL)}))) GROUP BY ALL),
  o AS (SELECT *, first_value(label) OVER (PARTITION BY term ORDER BY updated_at DESC NULLS LAST, entry_type, entry_id, label) AS opener FROM g), mm AS (SELECT term, label AS class, sum(n) AS n, first(opener) AS opener FROM o GROUP BY ALL),
  j AS (SELECT coalesce(mm.term, k.term) AS term, coalesce(mm.class, k.class) AS class, coalesce(n, 0) AS n, opener, k.weight, EXISTS (SELECT 1 FROM r WHERE r.kind = 'keyword' AND r.term = mm.term) AS known FROM mm FULL JOIN (SELECT term, class, weight FROM r WHERE kind = 'keyword') k ON k.term = mm.term AND k.class = mm.class),
- b AS (SELECT *, CASE WHEN contains(term, ' ') THEN 1.8::DOUBLE ELSE 1.5::DOUBLE END AS boost, CASE WHEN contains(term, ' ') THEN 0.16::DOUBLE ELSE 0.1::DOUBLE END AS base FROM j),
- s0 AS (SELECT *, CASE WHEN weight IS NOT NULL THEN CAST(weight AS DOUBLE) WHEN NOT known AND opener = class THEN base / boost ELSE 0.08::DOUBLE END AS s FROM b)"""
+ b AS (SELECT *, CAST(CASE WHEN contains(term, ' ') THEN 1.8 ELSE 1.5 END AS DECIMAL(18,4)) AS boost, weight IS NULL AND NOT known AND opener = class AS opens FROM j),
+ s0 AS (SELECT *, CAST(CASE WHEN weight IS NOT NULL THEN weight WHEN opens THEN CASE WHEN contains(term, ' ') THEN 0.16 ELSE 0.1 END ELSE 0.08 END AS DECIMAL(18,4)) AS s, CAST(least(200, n - CASE WHEN opens THEN 1 ELSE 0 END) AS BIGINT) AS k FROM b)"""
 
 
-@query(f"""WITH {L}, {R}, {_REASON} SELECT 'keyword' AS kind, term, class, list_reduce(list_concat([s], list_transform(range(0, CAST(n AS BIGINT)), lambda i: boost)), lambda a, x: round(a * x, 4)) AS weight FROM s0
+@query(f"""WITH {L}, {R}, {_REASON} SELECT 'keyword' AS kind, term, class, CAST(list_reduce(list_concat([s], list_transform(range(0, k), lambda i: boost)), lambda a, x: CAST(greatest(-1000000000, least(1000000000, round(a * x, 4))) AS DECIMAL(18,4))) AS DOUBLE) AS weight FROM s0
  UNION ALL SELECT kind, term, class, CAST(weight AS DOUBLE) FROM r WHERE kind <> 'keyword'""")
 def q34_reasoning_boost(spark, d):
     mine = labels(spark, d).where(F.col("profile_id") == PROFILE)
