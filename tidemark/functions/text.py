@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of a recipe: two or more Latin letters or digits between word bounds.
 RECIPE_WORD = r"(?U)\b[a-zA-Z0-9À-ɏ]{2,}\b"
@@ -25,14 +26,16 @@ def slugify(c: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_replace(s, "^-+|-+$", ""), F.lit("")), F.lit("default"))
 
 
-def url_identity(c: Column) -> Column:
-    """``struct(display, slug)`` of a site's address: its last path part without ``index.php`` and a ``seismo-`` prefix, else
+def url_identity(c: Column, prefix: str = "") -> Column:
+    """``struct(display, slug)`` of a site's address: its last path part without ``index.php`` and the product ``prefix``, else
     its host without ``www.``; an address that names no host gives nulls."""
     s = F.trim(blank(c))
     full = F.when(s.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), s).otherwise(F.concat(F.lit("https://"), s))
     host = F.regexp_replace(F.lower(F.regexp_extract(full, r"^[^:]+://(?:[^/@]*@)?([^/:?#]+)", 1)), r"^www\.", "")
     path = F.regexp_replace(F.regexp_extract(full, r"^[^:]+://[^/?#]+([^?#]*)", 1), r"(?i)/index\.php/?$", "")
-    last = F.regexp_replace(F.regexp_extract(path, r"([^/]+)/*$", 1), r"(?i)^seismo-", "")
+    last = F.regexp_extract(path, r"([^/]+)/*$", 1)
+    if prefix:
+        last = F.regexp_replace(last, f"(?i)^{re.escape(prefix)}", "")
     name = F.nullif(F.coalesce(F.nullif(last, F.lit("")), host), F.lit(""))
     return F.when(s != "", F.struct(name.alias("display"), F.when(name.isNotNull(), slugify(name)).alias("slug")))
 
@@ -149,7 +152,7 @@ def drop_trailing_commas(c: Column) -> Column:
     return F.regexp_replace(c, r",\s*([}\]])", "$1")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility decomposition without combining marks (vectorised; the only Python in this module)."""
     for s in parts:

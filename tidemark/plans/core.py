@@ -605,10 +605,10 @@ def q54_slugify(spark, d):
 
 @query(f"""WITH {E}, u AS (SELECT entry_type, entry_id, trim(coalesce(link, '')) AS s FROM e), f AS (SELECT *, CASE WHEN regexp_matches(s, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN s ELSE 'https://' || s END AS a FROM u WHERE s <> ''),
  g AS (SELECT entry_type, entry_id, regexp_replace(lower(regexp_extract(a, '^[^:]+://(?:[^/@]*@)?([^/:?#]+)', 1)), '^www\\.', '') AS host, regexp_replace(regexp_extract(a, '^[^:]+://[^/?#]+([^?#]*)', 1), '(?i)/index\\.php/?$', '') AS path FROM f),
- h AS (SELECT entry_type, entry_id, nullif(coalesce(nullif(regexp_replace(regexp_extract(path, '([^/]+)/*$', 1), '(?i)^seismo-', ''), ''), host), '') AS display FROM g)
+ h AS (SELECT entry_type, entry_id, nullif(coalesce(nullif(regexp_replace(regexp_extract(path, '([^/]+)/*$', 1), '(?i)^news-', ''), ''), host), '') AS display FROM g)
  SELECT entry_type, entry_id, display, CASE WHEN display IS NOT NULL THEN coalesce(nullif(regexp_replace(regexp_replace(lower(trim(display)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'default') END AS slug FROM h""")
 def q55_url_identity(spark, d):
-    u = entries(spark, d, "link").select(*KEY, X.url_identity(F.col("link")).alias("u")).where("u IS NOT NULL")
+    u = entries(spark, d, "link").select(*KEY, X.url_identity(F.col("link"), "news-").alias("u")).where("u IS NOT NULL")
     return u.select(*KEY, "u.display", "u.slug")
 
 
