@@ -56,23 +56,29 @@ def latest_labels_state(stream: DataFrame) -> DataFrame:
 
 def retry_queue(stream: DataFrame, time: str, key: list[str] = KEY, delay: str = "1 hour") -> DataFrame:
     """Queued sends with repeats of a key within ``delay`` dropped."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
+    return _timed(stream, time, delay).dropDuplicatesWithinWatermark(key)
+
+
+def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Event times as timestamps with zone (a watermark needs them); tables get no watermark."""
+    e = events.withColumn(time, F.col(time).cast("timestamp"))
+    return e.withWatermark(time, late) if events.isStreaming else e
 
 
 def tumbling(events: DataFrame, time: str = "ts", size: str = "1 hour", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
     """Counts and sums by window; works on streams and tables alike."""
-    src = events.withWatermark(time, late) if events.isStreaming else events
+    src = _timed(events, time, late)
     w = src.groupBy(F.window(time, size).alias("w"), by).agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
     return w.select(F.col("w.start").alias("start"), by, "n", "total")
 
 
 def sliding(events: DataFrame, time: str = "ts", size: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes", by: str = "event_type") -> DataFrame:
-    src = events.withWatermark(time, late) if events.isStreaming else events
+    src = _timed(events, time, late)
     return src.groupBy(F.window(time, size, step).alias("w"), by).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), by, "n")
 
 
 def sessions(events: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str = "10 minutes", by: str = "user_id") -> DataFrame:
-    src = events.withWatermark(time, late) if events.isStreaming else events
+    src = _timed(events, time, late)
     s = src.groupBy(F.session_window(time, gap).alias("w"), by).agg(F.count("*").alias("n"))
     return s.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 
