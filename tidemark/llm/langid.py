@@ -206,6 +206,8 @@ def training_words(texts: list[str]) -> Counter:
 def fit(texts: list[str], labels: list[int], langs: list[str], rounds: int = 3) -> Labeller:
     """Train; drop the records whose words mostly belong elsewhere; train again on each record's own words."""
     labels = np.asarray(labels, np.int64)
+    if not langs:
+        return Labeller(ContextTrees({b"": 0}, np.zeros((1, 0), np.float32), np.zeros((1, 0), np.float32), ORDER), [])
     bags = [training_words([t for t, y in zip(texts, labels) if y == i]) for i in range(len(langs))]
     for r in range(rounds):
         model = Labeller(ContextTrees.train(bags), langs)
@@ -238,18 +240,29 @@ def labelled_sample(texts: DataFrame, labels: DataFrame, per_language: int = PER
 _SEGMENTS = "array<struct<field: string, first: int, words: int, lang: string, confidence: double>>"
 
 
+_ARROW_SEGMENTS = pa.list_(pa.struct([("field", pa.string()), ("first", pa.int32()), ("words", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())]))
+
+
 def segments(df: DataFrame, model: Labeller, key: str, fields: list[str], least: int = 6) -> DataFrame:
     """``(key, words array<int>, segments)``: of each record the word count of each field, and its segments.
 
     A segment is a run of words of one language in one field, ``first`` counting words from 0; runs of fewer than
     ``least`` words belong to the longer neighbour's language, unless the whole field is shorter.  The confidence is
     the language's share by the segment's mean code length a word (three words' worth), between 1/languages and 1.
+    Null and empty fields have no words and no segment; null keys are left out; repeated rows repeat; a model without languages
+    gives counts and no segments.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((model.trees.at, model.trees.cost, model.trees.escape, model.trees.order, model.langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, cost, escape, order, langs = shared.value
+        if not langs:  # nothing was labelled: words are counted, no language can be told
+            for b in batches:
+                n = [len([w for w in (t or "").split() if any(ch.isalnum() for ch in w)]) for i in range(b.num_rows) for t in (b.column(1 + f)[i].as_py() for f in range(len(fields)))]
+                w = pa.ListArray.from_arrays(pa.array((np.arange(b.num_rows + 1) * len(fields)).astype(np.int32)), pa.array(n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column(0), w, pa.array([[]] * b.num_rows, _ARROW_SEGMENTS)], names=["key", "words", "segments"])
+            return
         m = Labeller(ContextTrees(at, cost, escape, order), langs)
         names = pa.array(langs)
         for b in batches:
