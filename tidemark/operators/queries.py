@@ -57,9 +57,7 @@ def label_counts(labels: DataFrame) -> DataFrame:
 
 def filled_distribution(labels: DataFrame) -> DataFrame:
     """Confirmed labels by profile over all four classes, zeros included."""
-    spark = labels.sparkSession
-    classes = spark.createDataFrame([(c,) for c in CLASSES], "label string")
-    every = labels.select("profile_id").distinct().crossJoin(F.broadcast(classes))  # four rows, a fixed table
+    every = labels.select("profile_id").distinct().withColumn("label", F.explode(F.array(*[F.lit(c) for c in CLASSES])))
     return every.join(label_counts(labels), ["profile_id", "label"], "left").fillna(0, ["n"])
 
 
@@ -85,7 +83,7 @@ def push_increment(labels: DataFrame, log: DataFrame, profile_id: int) -> DataFr
     pushes = last_label_push(log.where((F.col("profile_id") == profile_id) | F.col("profile_id").isNull()))
     last = pushes.agg(F.coalesce(F.max("last_push"), F.lit("")).alias("last_push"))
     mine = current_labels(labels).where((F.col("profile_id") == profile_id) & confirmed())
-    return mine.crossJoin(F.broadcast(last)).where(blank("updated_at") > F.col("last_push")).drop("last_push")  # one row
+    return mine.where(blank("updated_at") > last.scalar())
 
 
 def recent_syncs(log: DataFrame, profile_id: int, limit: int = 20) -> DataFrame:

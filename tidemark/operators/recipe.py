@@ -107,21 +107,23 @@ def quality(scores_a: DataFrame, scores_b: DataFrame, least: int = 2) -> DataFra
 def upper_median(scores: DataFrame) -> DataFrame:
     """The element ``n // 2`` of the sorted positive magnitudes (largest absolute class score of each entry); one row.
 
-    Found from the counts of equal magnitudes, so equal values are one row and nothing is collected.
+    Counts of equal magnitudes are added up in two steps, first by whole numbers and then within the one that holds the
+    element, so no task orders all entries.
     """
     m = scores.select(F.greatest(*[F.abs(c) for c in CLASSES]).alias("m")).where("m > 0")
-    counts = m.groupBy("m").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("t"))
-    # ranges of magnitudes first, then one window inside the sorted counts: distinct 4-digit magnitudes are few
-    below = counts.withColumn("upto", F.sum("n").over(Window.orderBy("m"))).crossJoin(F.broadcast(total))
-    return below.where(F.col("upto") > F.floor(F.col("t") / 2)).agg(F.min("m").alias("median"))
+    counts = m.groupBy("m").agg(F.count("*").alias("n")).withColumn("b", F.floor("m").cast("long"))
+    coarse = counts.groupBy("b").agg(F.sum("n").alias("bn")).withColumn("before", F.sum("bn").over(Window.orderBy("b")) - F.col("bn"))
+    place = F.floor(F.sum("bn").over(Window.partitionBy()) / 2)
+    home = coarse.withColumn("place", place).where("before <= place AND place < before + bn")
+    fine = counts.join(home, "b").withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy("b").orderBy("m")))
+    return fine.where("upto > place").agg(F.min("m").alias("median"))
 
 
 def normalise(recipe: DataFrame, median: DataFrame) -> DataFrame:
     """Weights times ``TARGET / median``, rounded to four places; unchanged without a median of ``LEAST_MEDIAN`` or more."""
-    scale = F.when(F.col("median") >= LEAST_MEDIAN, F.lit(TARGET) / F.col("median").cast("double")).otherwise(1.0)
-    scaled = F.round(F.col("weight").cast("double") * scale, 4).cast(DECIMAL)
-    return recipe.crossJoin(F.broadcast(median)).select("kind", "term", "class", scaled.alias("weight"))
+    m = median.first()["median"]
+    scale = TARGET / float(m) if m is not None and float(m) >= LEAST_MEDIAN else 1.0
+    return recipe.select("kind", "term", "class", F.round(F.col("weight").cast("double") * scale, 4).cast(DECIMAL).alias("weight"))
 
 
 def stabilise(recipe: DataFrame) -> DataFrame:

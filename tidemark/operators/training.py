@@ -34,11 +34,24 @@ def stratified_split(rows: DataFrame, label: str, share: float, seed: int, key:
     With fewer than twice as many rows as classes the split ignores classes; the share is held between k/n and 1 - k/n.
     """
     n = rows.agg(F.count("*").alias("n"), F.countDistinct(label).alias("k")).first()
-    part = [F.col(label)] if n.n >= 2 * n.k else [F.lit(1)]
-    held = max(n.k / n.n, min(1 - n.k / n.n, share)) if n.n >= 2 * n.k and n.n else share
-    w = Window.partitionBy(*part)
-    rank = F.row_number().over(w.orderBy(hash_order(seed, *key), *key))
-    return rows.withColumn("is_test", (rank <= F.round(F.count("*").over(w) * held)).cast("int"))
+    by_class = n.n >= 2 * n.k
+    held = max(n.k / n.n, min(1 - n.k / n.n, share)) if by_class and n.n else share
+    ranked = hash_ranked(rows, [label] if by_class else [], seed, key)
+    return ranked.withColumn("is_test", (F.col("__rank") <= F.round(F.col("__size") * held)).cast("int")).drop("__rank", "__size")
+
+
+def hash_ranked(rows: DataFrame, part: list[str], seed: int, key: list[str] = KEY) -> DataFrame:
+    """``rows`` with ``__rank`` (from 1, in hash order) and ``__size`` of their part.
+
+    A part may hold most of all rows, so it is not ordered in one task: rows are ranked within 4,096 slices of the hash,
+    and the slices' counts, a small table, give what comes before each.
+    """
+    keys = [*part, "__slice"]
+    h = rows.withColumn("__h", hash_order(seed, *key)).withColumn("__slice", F.substring("__h", 1, 3))
+    counts = h.groupBy(*keys).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.sum("__n").over(Window.partitionBy(*part).orderBy("__slice")) - F.col("__n")).withColumn("__size", F.sum("__n").over(Window.partitionBy(*part)))
+    inside = h.withColumn("__in", F.row_number().over(Window.partitionBy(*keys).orderBy("__h", *key)))
+    return inside.join(before.drop("__n"), keys).withColumn("__rank", F.col("__before") + F.col("__in")).select(*rows.columns, "__rank", "__size")
 
 
 def default_share(rows: DataFrame, label: str) -> float:
@@ -49,28 +62,27 @@ def default_share(rows: DataFrame, label: str) -> float:
 
 def replicate(rows: DataFrame, weight: str = "weight", most: int = 5) -> DataFrame:
     """Rows repeated by their weight relative to the smallest one, between 1 and ``most`` times (halves to even), with ``copy`` from 1."""
-    low = rows.agg(F.greatest(F.min(weight), F.lit(1e-6)).alias("__low"))
-    n = F.least(F.lit(most), F.greatest(F.lit(1), F.bround(F.col(weight) / F.col("__low"), 0).cast("int")))
-    return rows.crossJoin(F.broadcast(low)).withColumn("copy", F.explode(F.sequence(F.lit(1), n))).drop("__low")  # one row
+    low = rows.agg(F.greatest(F.min(weight), F.lit(1e-6)))
+    n = F.least(F.lit(most), F.greatest(F.lit(1), F.bround(F.col(weight) / low.scalar(), 0).cast("int")))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), n)))
 
 
 def oversample(rows: DataFrame, label: str, key: list[str] = KEY, seed: int = 42) -> DataFrame:
     """Smaller classes filled up to the largest by repeating their rows in turn (hash order), with ``turn`` from 0."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    top = counts.agg(F.max("__n").alias("__max"))
-    c = counts.crossJoin(F.broadcast(top))  # one row
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, *key), *key)) - 1
-    j = rows.withColumn("__r", rank).join(F.broadcast(c), label)  # one row a class
-    turns = F.floor((F.col("__max") - F.col("__r") - 1) / F.col("__n")).cast("int")
-    return j.withColumn("turn", F.explode(F.sequence(F.lit(0), turns))).drop("__r", "__n", "__max")
+    top = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)))
+    ranked = hash_ranked(rows, [label], seed, key)
+    turns = F.floor((top.scalar() - F.col("__rank")) / F.col("__size")).cast("int")
+    return ranked.withColumn("turn", F.explode(F.sequence(F.lit(0), turns))).drop("__rank", "__size")
 
 
 def class_balanced(rows: DataFrame, label: str, weight: str | None = None) -> DataFrame:
     """``rows`` with ``w``: ``n / (k * n_class)``, times a given weight."""
-    c = rows.groupBy(label).agg(F.count("*").alias("__c"))
-    t = c.agg(F.sum("__c").alias("__t"), F.count("*").alias("__k"))
-    j = rows.join(F.broadcast(c.crossJoin(F.broadcast(t))), label)  # one row a class
-    return j.withColumn("w", F.col("__t") / (F.col("__k") * F.col("__c")) * (F.col(weight) if weight else F.lit(1.0))).drop("__c", "__t", "__k")
+    counts = {r[label]: r["n"] for r in rows.where(F.col(label).isin(CLASSES)).groupBy(label).agg(F.count("*").alias("n")).collect()}  # four classes at most
+    total = sum(counts.values())
+    w = F.lit(None).cast("double")
+    for c, n in counts.items():
+        w = F.when(F.col(label) == c, F.lit(total / (len(counts) * n))).otherwise(w)
+    return rows.withColumn("w", w * (F.col(weight) if weight else F.lit(1.0))).where("w IS NOT NULL")
 
 
 def _indexer() -> StringIndexerModel:
