@@ -64,3 +64,11 @@ def test_small_tables(spark):
     assert nearest_neighbours(table(spark, [(1, x[0])])).count() == 0
     two = neighbour_pairs(nearest_neighbours(table(spark, [(1, x[0]), (2, x[1])])))
     assert [tuple(r) for r in two.collect()] == [(1, 2)]
+
+
+def test_two_levels_of_centroids(spark, monkeypatch):
+    monkeypatch.setattr(knn, "FLAT_LISTS", 16)
+    monkeypatch.setattr(knn, "LISTS_PER_CELL", 8)
+    x = data(3000, 5)
+    got = collect(nearest_neighbours(table(spark, [(i, v) for i, v in enumerate(x)]), rows_per_list=60))
+    assert recall(got, exact(np.arange(len(x)), x, 10)) >= 0.9 and all(len(v) == 10 for v in got.values())

@@ -6,8 +6,11 @@ residual, and is a query to its ``probes`` nearest lists.  In a list, asymmetric
 (query against codebook) rank the members; the best ``rerank`` are compared exactly, by the
 full vectors, and the ten best of all lists are kept.
 
-Scale: only centroids and codebooks are broadcast (bounded by ``MAX_LISTS`` and the dimension); their
-count follows the number of rows, so lists keep their size until ``MAX_LISTS``.  A list that would be
+Scale: only centroids and codebooks are broadcast (bounded by ``MAX_LISTS`` and the dimension: 16 MB at 64
+numbers); their count follows the number of rows, so lists keep their size until ``MAX_LISTS``.  Beyond
+``FLAT_LISTS`` the centroids have two levels: cells from the driver's sample, and the lists of each cell trained on the
+executors from a sample of that cell; a vector is then compared with the cells and with the lists of its ``CELLS`` nearest
+cells, not with all lists.  A list that would be
 too large is cut into a grid of member shards and query shards by hashes of the key, whose sizes are
 estimated from the sample, so no task holds an unbounded list.  Exact copies of one vector are filed
 once; their keys are put back afterwards.
@@ -26,7 +29,11 @@ from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usa
 
 SAMPLE = 1 << 16
 ROWS_PER_LIST = 900
-MAX_LISTS = 4096
+FLAT_LISTS = 2048
+MAX_LISTS = 1 << 16
+LISTS_PER_CELL = 128
+CELLS = 6
+SAMPLE_PER_LIST = 48
 PROBES = 6
 SUBSPACES = 32
 RERANK = 110
@@ -43,24 +50,98 @@ class Index:
     member_shards: np.ndarray
     query_shards: np.ndarray
     probes: int
+    cells: np.ndarray | None = None  # first level, where there is one
+    starts: np.ndarray | None = None  # lists of cell c: starts[c] .. starts[c + 1]
 
     def code(self, residual: np.ndarray) -> np.ndarray:
         s, _, w = self.books.shape
         return np.stack([nearest(residual[:, j * w : (j + 1) * w], self.books[j]) for j in range(s)], axis=1).astype(np.uint8)
 
     def closest_lists(self, x: np.ndarray) -> np.ndarray:
-        score = x @ self.centres.T - 0.5 * (self.centres * self.centres).sum(1)
-        p = min(self.probes, len(self.centres))
-        top = np.argpartition(-score, p - 1, axis=1)[:, :p]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+        """The nearest lists of each row, nearest first."""
+        if self.cells is None:
+            return _best(_scores(x, self.centres), None, self.probes)
+        near = _best(_scores(x, self.cells), None, CELLS)
+        p = self.probes
+        score = np.full((len(x), near.shape[1] * p), -np.inf, np.float32)
+        number = np.zeros(score.shape, np.int64)
+        for slot in range(near.shape[1]):
+            order = np.argsort(near[:, slot], kind="stable")
+            cell = near[order, slot]
+            edges = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
+            for lo, hi in zip(edges, np.r_[edges[1:], len(cell)]):
+                first, last = self.starts[cell[lo]], self.starts[cell[lo] + 1]
+                rows = order[lo:hi]
+                s = _scores(x[rows], self.centres[first:last])
+                top = _best(s, None, p)
+                w = top.shape[1]
+                score[rows, slot * p : slot * p + w] = np.take_along_axis(s, top, 1)
+                number[rows, slot * p : slot * p + w] = top + first
+        return _best(score, number, min(p, len(self.centres)))
+
+    def home(self, x: np.ndarray) -> np.ndarray:
+        return self.closest_lists(x)[:, 0] if len(x) else np.zeros(0, np.int64)
+
+
+def _scores(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return x @ centres.T - 0.5 * (centres * centres).sum(1)
+
+
+def _best(score: np.ndarray, number: np.ndarray | None, k: int) -> np.ndarray:
+    """Columns (or their ``number``) of the k best scores of each row, best first."""
+    k = min(k, score.shape[1])
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), axis=1, kind="stable"), 1)
+    return top if number is None else np.take_along_axis(number, top, 1)
+
+
+def two_levels(src: DataFrame, sample: np.ndarray, rows: int, lists: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(cells, lists, starts)``: cells from the driver's sample, each cell's lists trained where a sample of it is gathered.
+
+    A cell's sample is a hash draw of about ``SAMPLE_PER_LIST * lists`` rows over all cells; a cell that is far
+    larger than the others trains on as many lists as any other, its lists are cut into shards later.
+    """
+    dim = sample.shape[1]
+    cells = kmeans(sample, max(2, lists // LISTS_PER_CELL), seed=3)
+    shared = src.sparkSession.sparkContext.broadcast(cells)
+    grain = 1 << 20
+    keep = min(grain, -(-grain * SAMPLE_PER_LIST * lists // rows))
+    most = SAMPLE_PER_LIST * LISTS_PER_CELL * 8
+
+    def assign(batches):
+        for b in batches:
+            x = unit_rows(b.column(0), dim)
+            yield pa.RecordBatch.from_arrays([pa.array(nearest(x, shared.value)), _binary(x)], names=["c", "vec"])
+
+    def train(t: pa.Table) -> pa.Table:
+        x = _matrix(t["vec"], np.float32, dim)[:most]
+        return pa.table({"c": t["c"][:1], "lists": pa.array([kmeans(x, LISTS_PER_CELL, seed=4).astype(np.float32).tobytes()], pa.binary())})
+
+    drawn = src.where(F.pmod(F.xxhash64("key", F.lit("lists")), F.lit(grain)) < keep).select("e")
+    trained = drawn.mapInArrow(assign, "c long, vec binary").groupBy("c").applyInArrow(train, "c long, lists binary")
+    own = {r.c: np.frombuffer(r.lists, np.float32).reshape(-1, dim) for r in trained.toLocalIterator()}
+    parts = [own.get(c, cells[c : c + 1]) for c in range(len(cells))]
+    return cells, np.concatenate(parts), np.r_[0, np.cumsum([len(x) for x in parts])]
+
+
+def _binary(x: np.ndarray) -> pa.Array:
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.dtype.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * width).astype(np.int32)), pa.py_buffer(x)])
 
 
-def fit(sample: np.ndarray, rows: int, probes: int = PROBES, rows_per_list: int = ROWS_PER_LIST) -> Index:
-    """Fit on the bounded sample. ``rows`` sets the number of lists and the expected size of each."""
+def fit(sample: np.ndarray, rows: int, probes: int = PROBES, rows_per_list: int = ROWS_PER_LIST, src: DataFrame | None = None) -> Index:
+    """Fit on bounded samples. ``rows`` sets the number of lists and the expected size of each."""
     dim = sample.shape[1]
-    lists = int(min(MAX_LISTS, max(1, round(rows / rows_per_list)), max(1, len(sample) // 8)))
-    centres = kmeans(sample, lists, seed=1) if len(sample) else np.zeros((1, dim), np.float32)
-    residual = sample - centres[nearest(sample, centres)] if len(sample) else sample
+    lists = int(min(MAX_LISTS, max(1, round(rows / rows_per_list))))
+    cells = starts = None
+    if src is not None and lists > FLAT_LISTS:
+        cells, centres, starts = two_levels(src, sample, rows, lists)
+    else:
+        centres = kmeans(sample, min(lists, max(1, len(sample) // 8)), seed=1) if len(sample) else np.zeros((1, dim), np.float32)
+    ones = np.ones(len(centres), np.int64)
+    index = Index(centres, np.zeros((0, 0, 0), np.float32), ones, ones.copy(), probes, cells, starts)
+    residual = sample - centres[index.home(sample)]
     width = dim // SUBSPACES
     few = residual[: 1 << 14]
     books = np.zeros((SUBSPACES, 256, width), np.float32)
@@ -68,7 +149,7 @@ def fit(sample: np.ndarray, rows: int, probes: int = PROBES, rows_per_list: int
         b = kmeans(np.ascontiguousarray(few[:, j * width : (j + 1) * width]), 256, rounds=5, seed=2) if len(few) else np.zeros((1, width))
         books[j, : len(b)] = b
         books[j, len(b) :] = b[0] if len(b) else 0
-    index = Index(centres, books, np.ones(len(centres), np.int64), np.ones(len(centres), np.int64), probes)
+    index.books = books
     if len(sample):
         to = index.closest_lists(sample)
         scale = rows / len(sample)
@@ -181,7 +262,7 @@ def nearest_neighbours(
     """
     src = df.select(F.col(key).cast("long").alias("key"), F.col(embedding).alias("e")).where(F.col("key").isNotNull() & usable("e", dim))
     rows = src.count()
-    index = df.sparkSession.sparkContext.broadcast(fit(bounded_sample(src, "key", "e", dim, rows, SAMPLE), rows, probes, rows_per_list))
+    index = df.sparkSession.sparkContext.broadcast(fit(bounded_sample(src, "key", "e", dim, rows, SAMPLE), rows, probes, rows_per_list, src))
 
     # Copies of one vector: all keys by the smallest one. Only the hashes of repeated vectors survive the filter.
     prints = src.select("key", F.xxhash64("e").alias("h")).distinct()
