@@ -115,6 +115,9 @@ class Judge:
     gain: float = 1.0
     memo: dict = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        self.by_bucket = np.ascontiguousarray(self.weight.T)  # a word reads whole rows
+
     def met(self, word: str) -> int:
         return self.known.get(_core(word), 0)
 
@@ -124,16 +127,19 @@ class Judge:
             return self.memo[word]
         if len(self.memo) > 1 << 18:
             self.memo.clear()
-        got = self._word(word, range(len(CHAINS)))
+        got = self._word(word)
         if len(word) <= 64:
             self.memo[word] = got
         return got
 
-    def _word(self, word: str, chains, tries: int = 6) -> tuple[int, str, bool] | None:
+    def _word(self, word: str, chains: list[int] | None = None, tries: int = 6) -> tuple[int, str, bool] | None:
         at = bigrams(word)
-        chains = np.fromiter(chains, np.int64)
-        right = self.weight[0, at].sum()
-        score = self.weight[chains + 1][:, at].sum(axis=1)
+        every = self.by_bucket[at].sum(axis=0)
+        right, score = every[0], every[1:]
+        if chains is None:
+            chains = range(len(CHAINS))
+        else:
+            score = score[chains]
         met = self.met(word)
         for i in np.argsort(-score, kind="stable")[:tries].tolist():
             c = int(chains[i])
@@ -145,7 +151,7 @@ class Judge:
                 continue
             if score[i] < right + (self.prior if again < 2 else 0):
                 continue
-            after = self.weight[0, bigrams(back)].sum()
+            after = self.by_bucket[bigrams(back), 0].sum()
             # per bigram, since a chain may lengthen the word
             if again < 2 and after / (len(back.encode()) + 1) <= right / len(at) + self.gain and after <= right + 4 * self.gain:
                 continue
@@ -210,32 +216,39 @@ def fit(texts: list[str]) -> Judge:
     The sample itself holds garbled records; a first classifier finds them and the second is trained without.
     """
     docs = [{w for w in _WORDS.findall(t) if not w.isascii() and len(w) <= 64} for t in texts]
+    # what each class sees of each word, worked out once: its buckets laid end to end, class by class
+    words = sorted({w for d in docs for w in d if _LOST not in w})
+    number = {w: i for i, w in enumerate(words)}
+    seen = [_seen(words, None), *(_seen(words, chain) for chain in CHAINS)]
     judge = None
     for _ in range(2):
         if judge is not None:
             docs = [d for t, d in zip(texts, docs) if not affected(*judge.text(t))]
-        words: Counter = Counter()
-        known: Counter = Counter()
-        for d in docs:
-            words.update(d)
-            known.update({_core(w) for w in d})
-        weight = np.full((len(CHAINS) + 1, BUCKETS), 0.0)
-        for w, n in words.items():
-            if _LOST in w:
-                continue
-            v = 1.0 + np.log(n)
-            np.add.at(weight[0], bigrams(w), v)
-            for c, chain in enumerate(CHAINS):
-                bad = garble(w, chain)
-                if bad is not None and bad != w:
-                    np.add.at(weight[c + 1], bigrams(bad), v)
+        met = np.bincount([number[w] for d in docs for w in d if w in number], minlength=len(words)) if words else np.zeros(0, np.int64)
+        v = np.where(met > 0, 1.0 + np.log(np.maximum(met, 1)), 0.0)
+        weight = np.stack([np.bincount(buckets, weights=v[owner], minlength=BUCKETS) for owner, buckets in seen])
         total = weight.sum(axis=1, keepdims=True)
         scaled = weight / np.maximum(total, 1) * 200_000
-        common = {w: n for w, n in known.most_common(KNOWN) if w and n >= 2}
+        known = Counter(c for d in docs for c in {_core(w) for w in d})
+        common = {w: n for w, n in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:KNOWN] if w and n >= 2}
         judge = Judge(np.log((scaled + 0.2) / (200_000 + 0.2 * BUCKETS)).astype(np.float32), common)
     return judge
 
 
+def _seen(words: list[str], chain) -> tuple[np.ndarray, np.ndarray]:
+    """``(word number, bucket)`` of the words as a chain leaves them, without those it cannot or does not change."""
+    owners, parts = [], []
+    for i, w in enumerate(words):
+        bad = w if chain is None else garble(w, chain)
+        if bad is not None and (chain is None or bad != w):
+            b = bigrams(bad)
+            owners.append(np.full(len(b), i))
+            parts.append(b)
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(owners), np.concatenate(parts).astype(np.int64)
+
+
 def judge_for(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Judge:
     """Fit on at most about ``sample`` documents that hold signs outside ASCII, drawn by a hash of the key."""
     src = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
