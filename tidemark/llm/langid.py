@@ -203,7 +203,7 @@ def training_words(texts: list[str]) -> Counter:
     return bag
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str], rounds: int = 3) -> Labeller:
+def fit(texts: list[str], labels: list[int], langs: list[str], rounds: int = 2) -> Labeller:
     """Train; drop the records whose words mostly belong elsewhere; train again on each record's own words."""
     labels = np.asarray(labels, np.int64)
     if not langs:
