@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +11,7 @@ from tidemark.functions.lenient_json import lenient_object
 from tidemark.operators import explain, features, machine_labels, queries, recipe, store, training
 from tidemark.plans import core as C
 from tidemark.schemas import CLASSES, KEY
+from tidemark.session import scratch
 from tidemark.sources import packages
 from tidemark.sources.snapshots import SnapshotTable
 from tidemark.sources.tables import table
@@ -167,29 +165,25 @@ def q62_embed_batch(spark, d):
 @query(f"WITH {C.L} SELECT entry_type, entry_id, label, reasoning, updated_at AS labeled_at FROM l WHERE profile_id = {C.PROFILE}")
 def q63_package_roundtrip(spark, d):
     """A profile's labels written as a package and read back."""
-    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    folder = scratch(spark, "package")
     mine = C.labels(spark, d).where(F.col("profile_id") == C.PROFILE).select(*KEY, "label", "reasoning", "updated_at")
     packages.write_package(f"{folder}/model.zip", packages.manifest("desk", "0", 1, mine), mine)
-    out = packages.read_labels(spark, folder).select(*KEY, "label", "reasoning", "labeled_at").toArrow()
-    shutil.rmtree(folder)
-    return spark.createDataFrame(out)
+    return packages.read_labels(spark, folder).select(*KEY, "label", "reasoning", "labeled_at")
 
 
 @query(f"WITH {C.L} SELECT 'desk' AS model_name, CAST(7 AS BIGINT) AS version, count(*) AS label_count, {', '.join(f'''CAST(sum(CASE WHEN label = '{c}' THEN 1 ELSE 0 END) AS BIGINT) AS {c}''' for c in CLASSES)} FROM l WHERE profile_id = {C.PROFILE}")
 def q63_package_summary(spark, d):
-    folder = tempfile.mkdtemp(prefix="tidemark-package-")
+    folder = scratch(spark, "package")
     mine = C.labels(spark, d).where(F.col("profile_id") == C.PROFILE).select(*KEY, "label", "reasoning", "updated_at")
     head = packages.manifest("desk", "0", 7, mine)
     packages.write_package(f"{folder}/model.zip", head, mine)
-    out = packages.summaries(spark, folder).select("model_name", "version", "label_count", *CLASSES).toArrow()
-    shutil.rmtree(folder)
-    return spark.createDataFrame(out)
+    return packages.summaries(spark, folder).select("model_name", "version", "label_count", *CLASSES)
 
 
 @query("""SELECT entry_type, entry_id, title, source_type FROM (SELECT *, row_number() OVER (PARTITION BY entry_type, entry_id ORDER BY fetched_at DESC NULLS LAST) AS rn FROM entries) WHERE rn = 1""")
 def q64_stream_ingest_upsert(spark, d):
     """All entries landed as files and upserted by a stream that runs until nothing is left."""
-    root = tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = scratch(spark, "stream")
     cols = [c for c in table(spark, d, "entries").columns if c != "embedding"]
     table(spark, d, "entries").select(*cols).repartition(2).write.parquet(f"{root}/landing")
     schema = table(spark, d, "entries").select(*cols).schema
@@ -201,7 +195,7 @@ def q64_stream_ingest_upsert(spark, d):
 
 @query("SELECT entry_type, entry_id, label, reasoning, labeled_at FROM (SELECT *, row_number() OVER (PARTITION BY entry_type, entry_id ORDER BY coalesce(labeled_at, '') DESC, label, coalesce(reasoning, '')) AS rn FROM remote_labels) WHERE rn = 1")
 def q64_stream_latest_labels(spark, d):
-    root = tempfile.mkdtemp(prefix="tidemark-stream-")
+    root = scratch(spark, "stream")
     src = table(spark, d, "remote_labels")
     src.repartition(3).write.parquet(f"{root}/landing")
     stream = ingest.landing(spark, f"{root}/landing", src.schema, files_per_batch=1, fmt="parquet")

@@ -34,11 +34,17 @@ def write_package(path: str, head: dict, labels: DataFrame, recipe_json: str = "
     if n > LABEL_LIMIT:
         raise ValueError(f"{n} labels are too many for one package; write them with labels.write.json")
     rows = [json.loads(r) for r in labels.select(F.to_json(F.struct(*labels.columns))).toPandas().iloc[:, 0]]
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("manifest.json", json.dumps(head, ensure_ascii=False))
         z.writestr("labels.json", json.dumps(rows, ensure_ascii=False))
         z.writestr("recipe.json", recipe_json)
         z.writestr("calibration.json", json.dumps(calibration or {"version": 1, "method": "temperature", "temperature": 1.0, "class_names": sorted(CLASSES)}))
+    sc = labels.sparkSession.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)  # any file system Spark knows
+    stream = p.getFileSystem(sc._jsc.hadoopConfiguration()).create(p, True)
+    stream.write(bytearray(out.getvalue()))
+    stream.close()
     return path
 
 
