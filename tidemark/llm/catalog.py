@@ -78,4 +78,15 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_languages": p4_languages, "p4_segments": p4_segments, "p8_found": p8_found, "p8_restored": p8_restored, "p1_subset": p1_subset, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_ids": p6_ids, "p7_containers": p7_containers}
-ORACLE: dict[str, str] = {}
+_P2 = """WITH t AS (SELECT DISTINCT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '[\\p{L}\\p{N}]+') AS w FROM entries WHERE id IS NOT NULL),
+ f AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS f FROM t),
+ n AS (SELECT id, count(*) AS n FROM f GROUP BY id HAVING count(*) >= 30), g AS (SELECT id, f, n FROM f JOIN n USING (id)),
+ s AS (SELECT a.id AS id_a, b.id AS id_b, a.n AS na, b.n AS nb, count(*) AS s FROM g a JOIN g b ON a.f = b.f AND a.id < b.id GROUP BY ALL),
+ p AS (SELECT id_a, id_b FROM s WHERE s * 1.0 / (na + nb - s) >= 0.6)"""
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"{_P2} SELECT id_a, id_b FROM p",
+    "p2_groups": f"""{_P2.replace("WITH t", "WITH RECURSIVE t")}, e AS (SELECT id_a AS x, id_b AS y FROM p UNION SELECT id_b, id_a FROM p), c(x, y) AS (SELECT x, y FROM e UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+ k AS (SELECT id, list_sort(list(f)) AS fs FROM g GROUP BY id), l AS (SELECT e.x, count(DISTINCT b.fs) AS links FROM e JOIN k a ON a.id = e.x JOIN k b ON b.id = e.y WHERE a.fs <> b.fs GROUP BY ALL)
+ SELECT x AS id, least(x, min(y)) AS group_id, coalesce(max(links), 0) AS links FROM c LEFT JOIN l USING (x) GROUP BY x""",
+}
