@@ -73,6 +73,36 @@ def repair_json(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(repair)
 
 
+def find_in(doc: object, names: tuple[str, ...], depth: int) -> str | None:
+    """The first text under one of the names, outer levels before inner ones, at most ``depth`` levels deep."""
+    level = [doc]
+    for _ in range(depth + 1):
+        for d in level:
+            if isinstance(d, dict):
+                for n in names:
+                    if isinstance(d.get(n), str) and d[n].strip():
+                        return d[n].strip()
+        level = [v for d in level for v in (d.values() if isinstance(d, dict) else d if isinstance(d, list) else ()) if isinstance(v, (dict, list))]
+    return None
+
+
+def nested_text(c: Column, names: tuple[str, ...], depth: int = 3) -> Column:
+    """A text found by name somewhere in a JSON document, null if there is none or the document is broken."""
+
+    @F.pandas_udf(StringType())
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t):
+            try:
+                return find_in(json.loads(t), names, depth) if t else None
+            except ValueError:
+                return None
+
+        for s in parts:
+            yield s.map(one)
+
+    return run(c)
+
+
 def is_object(c: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))
 

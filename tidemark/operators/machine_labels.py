@@ -18,6 +18,7 @@ from tidemark.functions.lenient_json import lenient_object
 from tidemark.functions.text import blank
 from tidemark.operators.store import confirmed
 from tidemark.schemas import CLASSES, KEY
+from tidemark.session import cut
 
 CHUNK = 10
 REPLY = "labels array<struct<entry_id: string, entry_type: string, label: string, reasoning: string>>"
@@ -161,6 +162,27 @@ def outcome_counts(matched: DataFrame) -> DataFrame:
     return matched.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
+def run_batch(
+    entries: DataFrame, labels: DataFrame, profile_id: int, job: str, now: str, make_client: Callable[[], object], settings: Settings = Settings(), persona: str = "", chunk: int = CHUNK
+) -> tuple[DataFrame, DataFrame]:
+    """``(pending label rows, outcome of every entry)``: the eligible entries are asked in chunks, what deserves it once more alone.
+
+    Both calls' answers are written to the shared folder first, so a model is never asked twice because a later stage reruns.
+    """
+    todo = eligible(entries, labels, profile_id)
+    free = todo.where("skip IS NULL").drop("skip")
+    first = cut(ask(batch_prompts(free, persona, chunk), make_client, settings))
+    answers = parse_replies(first)
+    again = free.join(to_retry(match(free, answers)), KEY, "left_semi")
+    second = cut(ask(batch_prompts(again, persona, 1), make_client, settings))
+    # the answer of the second call counts where there is one
+    late = parse_replies(second)
+    both = answers.join(late.select(*KEY).distinct(), KEY, "left_anti").select(*late.columns).unionByName(late)
+    result = cut(match(free, both))
+    skipped = todo.where("skip IS NOT NULL").select(*KEY, F.col("skip").alias("outcome"))
+    return pending_labels(result, profile_id, job, now), result.select(*KEY, "outcome").unionByName(skipped)
+
+
 def pending_labels(matched: DataFrame, profile_id: int, job: str, now: str, source: str = "gemini") -> DataFrame:
     """Label rows that wait under a job for acceptance."""
     return matched.where("outcome = 'labeled'").select(

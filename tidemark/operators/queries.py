@@ -16,6 +16,34 @@ def newest() -> list[Column]:
     return [F.col("published_date").desc_nulls_last(), F.col("entry_type"), F.col("entry_id")]
 
 
+def profile(profiles: DataFrame, profile_id: int | None = None, slug: str | None = None) -> DataFrame:
+    """One profile: by id, by slug, or the default one (the lowest id if none is marked)."""
+    if profile_id is not None:
+        return profiles.where(F.col("id") == profile_id)
+    if slug is not None:
+        return profiles.where(F.col("slug") == slug).orderBy("id").limit(1)
+    return profiles.orderBy(F.col("is_default").desc_nulls_last(), "id").limit(1)
+
+
+def profiles_in_order(profiles: DataFrame) -> DataFrame:
+    return profiles.orderBy(F.col("is_default").desc_nulls_last(), "id")
+
+
+def models_in_order(models: DataFrame, profile_id: int) -> DataFrame:
+    return models.where(F.col("profile_id") == profile_id).orderBy(F.col("version").desc(), F.col("id").desc())
+
+
+def lookup(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """The entries of some keys (a left semi join, for one key or millions)."""
+    return entries.join(keys.select(*KEY).distinct(), KEY, "left_semi")
+
+
+def label_of(labels: DataFrame, profile_id: int, keys: DataFrame) -> DataFrame:
+    """Label and reasoning of some keys in a profile; keys without a label give nulls."""
+    mine = current_labels(labels).where(F.col("profile_id") == profile_id).select(*KEY, "label", "reasoning")
+    return keys.select(*KEY).distinct().join(mine, KEY, "left")
+
+
 def type_of_alias(alias: str | None) -> str | None:
     """Short names of entry types; anything else means all types."""
     return {"lex": "lex_item", "news": "feed_item"}.get((alias or "").strip().lower())
