@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from tidemark.session import cut, partitions_for
 
 WINDOW_BINS = 256
+#: So many specs are broadcast; more are joined by a shuffle.
+SPEC_ROWS = 10_000
 
 
 def differencing(sizes: list[int], k: int) -> list[list[int]]:
@@ -118,6 +120,9 @@ def pack(sizes: DataFrame, key: str = "doc_id", window_bins: int = WINDOW_BINS)
     spark = sizes.sparkSession
     items = sizes.where("n_tokens > 0 AND capacity > 0").select("spec_id", "capacity", F.col(key).cast("long").alias("k"), "n_tokens")
     totals = items.groupBy("spec_id").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("n"))
+    counted = totals.agg(F.sum("n").alias("rows"), F.count("*").alias("specs")).first()
+    if counted["specs"] <= SPEC_ROWS:
+        totals = F.broadcast(totals)
     windows = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * window_bins)).cast("long"))
     placed = items.join(totals, "spec_id").withColumn("window", F.pmod(F.xxhash64("k", "n_tokens"), windows))
 
@@ -142,8 +147,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", window_bins: int = WINDOW_BINS)
         out["spec_id"] = spec
         return out[["spec_id", "container", "k", "token_from", "token_to"]]
 
-    spec_rows = totals.agg(F.sum("n").alias("n")).first()["n"] or 0
-    placed = placed.repartition(partitions_for(spark, spec_rows, 20_000), "spec_id", "window")
+    placed = placed.repartition(partitions_for(spark, counted["rows"] or 0, 20_000), "spec_id", "window")
     out = placed.groupBy("spec_id", "window").applyInPandas(one, "spec_id long, container long, k long, token_from long, token_to long")
     return out.withColumnRenamed("k", key)
 
@@ -160,4 +164,7 @@ def pack_documents(documents: DataFrame, specs: DataFrame, folder: str | None =
 
     names = sorted(r[0] for r in specs.where("tokenizer IS NOT NULL").select("tokenizer").distinct().collect())
     sizes = cut(token_counts(documents, names, folder=folder or TOKENIZER_DIR).where("n_tokens > 0"))
-    return pack(sizes.join(specs.select("spec_id", "tokenizer", "capacity").dropDuplicates(["spec_id"]), "tokenizer"))
+    once = specs.select("spec_id", "tokenizer", "capacity").dropDuplicates(["spec_id"])
+    if once.limit(SPEC_ROWS + 1).count() <= SPEC_ROWS:
+        once = F.broadcast(once)  # else every tokenizer would be one join key for all documents
+    return pack(sizes.join(once, "tokenizer"))
