@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import analysed_words, ngrams
+from tidemark.operators.recipe import exploded
 from tidemark.schemas import KEY
 
 
 def term_counts(entries: DataFrame, text: Column, lengths: tuple[int, ...] = (1, 2, 3), words=analysed_words) -> DataFrame:
     """``(key, term, tf)`` counted before anything else."""
-    t = entries.select(*KEY, words(text).alias("w")).select(*KEY, F.explode(ngrams(F.col("w"), lengths)).alias("term"))
+    t = exploded(entries.select(*KEY, words(text).alias("w")), ngrams(F.col("w"), lengths), *KEY).where("term IS NOT NULL")
     return t.groupBy(*KEY, "term").agg(F.count("*").alias("tf"))
 
 

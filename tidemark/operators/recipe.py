@@ -59,17 +59,23 @@ def entry_terms(entries: DataFrame, tokenizer: str = "recipe", text: Column | No
     Counted before any join: of all that a text blows up into, one row a distinct term leaves the task.
     """
     words = (recipe_words if tokenizer == "recipe" else space_words)(text if text is not None else full_text())
-    terms = entries.select(*KEY, words.alias("w")).select(*KEY, F.explode(ngrams(F.col("w"))).alias("term"))
+    terms = exploded(entries.select(*KEY, words.alias("w")), ngrams(F.col("w")), *KEY).where("term IS NOT NULL")
     return terms.groupBy(*KEY, "term").agg(F.count("*").alias("n"))
 
 
+def exploded(df: DataFrame, terms: Column, *keep: str) -> DataFrame:
+    """One row a term. The outer form keeps Catalyst from adding a filter on the array's size, which would build every
+    array twice; a row without terms has a null one."""
+    return df.select(*keep, F.explode_outer(terms).alias("term"))
+
+
 def hits(entries: DataFrame, recipe: DataFrame, tokenizer: str = "recipe") -> DataFrame:
     """``(key, term, n, class, weight)``: the recipe's keywords that occur in each entry.
 
     A broadcast recipe is joined to the exploded terms before they are counted, so only hits are shuffled.
     """
     words = (recipe_words if tokenizer == "recipe" else space_words)(full_text())
-    terms = entries.select(*KEY, words.alias("w")).select(*KEY, F.explode(ngrams(F.col("w"))).alias("term"))
+    terms = exploded(entries.select(*KEY, words.alias("w")), ngrams(F.col("w")), *KEY)
     keywords = recipe.where("kind = 'keyword'").select("term", "class", "weight")
     wanted = keywords.select("term").distinct()
     found = terms.join(small(wanted), "term", "left_semi").groupBy(*KEY, "term").agg(F.count("*").alias("n"))
@@ -207,7 +213,7 @@ def reasoning_boost(recipe: DataFrame, reasons: DataFrame) -> DataFrame:
     gathered, and a term's fold needs only its own mentions in order.
     """
     r = reasons.where(blank("reasoning") != "").select("label", "updated_at", *KEY, ngrams(recipe_words(F.col("reasoning")), (1, 2, 3)).alias("t"))
-    per = r.select("label", "updated_at", *KEY, F.explode("t").alias("term")).where(~low_signal()).groupBy("label", "updated_at", *KEY, "term").agg(F.count("*").alias("n"))
+    per = exploded(r, F.col("t"), "label", "updated_at", *KEY).where(~low_signal()).groupBy("label", "updated_at", *KEY, "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("term").orderBy(F.col("updated_at").desc_nulls_last(), *KEY, "label")
     opened = per.withColumn("opener", F.first("label").over(order))
     many = opened.groupBy("term", F.col("label").alias("class")).agg(F.sum("n").alias("n"), F.first("opener").alias("opener"))
