@@ -34,9 +34,9 @@ MAX_LISTS = 1 << 16
 LISTS_PER_CELL = 128
 CELLS = 6
 SAMPLE_PER_LIST = 48
-PROBES = 6
+PROBES = 7
 SUBSPACES = 32
-RERANK = 110
+RERANK = 200
 MEMBERS_PER_SHARD = 8192
 QUERIES_PER_SHARD = 32768
 
