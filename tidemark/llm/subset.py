@@ -10,7 +10,9 @@ spread evenly over categories, half evenly over sources; each kind's share follo
 the order is an exponential race (smallest ``-ln(u) / weight`` first, weight = 1 / density, u from a hash of
 the key), which is a weighted sample without replacement; kinds are interleaved by
 ``(rank - offset) / mass``, so every kind whose share is one place or more is in the subset, exhausted
-kinds give way, and the size is exact.
+kinds give way, and the size is exact.  Independent draws of different kinds still meet in one topic, so a
+record's turn is not before its topic's: topics are the cells of ``TOPICS`` centroids fitted on a bounded
+sample (``SAMPLE``); a cell's second record waits until every cell could have had one, and so on.
 
 Only the first ``k`` of each kind (k = the largest request) can matter, and Spark's window group limit
 drops the others before the shuffle; a kind that holds a third of all rows is thus never gathered unless
@@ -28,9 +30,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import spread
-from tidemark.llm.vectors import unit_rows, usable
+from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usable
 
-TABLES, BITS = 8, 12
+TABLES, BITS = 8, 8
+TOPICS, SAMPLE = 64, 1 << 14
 
 
 def _planes(dim: int, seed: int) -> np.ndarray:
@@ -65,27 +68,42 @@ def bucket_counts(df: DataFrame, embedding: str, dim: int) -> np.ndarray:
     return table
 
 
-def with_density(df: DataFrame, embedding: str = "embedding", dim: int = 64) -> DataFrame:
-    """``df`` without its vector, with ``density`` (double): the mean bucket count, at least 1.
+def topics_of(sample: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Centroids of the sample drawn again by inverse density, so that a crowded region gets no more of them than its variety asks for."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]), np.float32)
+    w = 1.0 / np.maximum(1.0, counts[np.arange(TABLES), bucket_codes(sample)].mean(axis=1))
+    again = np.unique(np.random.default_rng(3).choice(len(sample), len(sample), p=w / w.sum()))
+    return kmeans(np.unique(sample[again], axis=0), TOPICS, seed=5)
+
+
+def with_density(df: DataFrame, key: str = "id", embedding: str = "embedding", dim: int = 64) -> DataFrame:
+    """``df`` without its vector, with ``density`` (double), the mean bucket count, at least 1, and ``topic`` (int), -1 without
+    a usable vector.
 
     Records without a usable vector form one bucket of their own: their density is their number.
     """
     spark = df.sparkSession
     rest = [c for c in df.columns if c != embedding]
     cols = spread(df.select(*rest, F.when(usable(embedding, dim), F.col(embedding)).alias("__e")))
-    table = spark.sparkContext.broadcast(bucket_counts(cols, "__e", dim))
-    blank = max(1, cols.where("__e IS NULL").count())
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", density double"
+    counts = bucket_counts(cols, "__e", dim)
+    size = cols.agg(F.count("*").alias("n"), F.count("__e").alias("have")).first()
+    blank = max(1, size["n"] - size["have"])
+    sample = bounded_sample(cols.where("__e IS NOT NULL"), key, "__e", dim, size["have"], SAMPLE)
+    table = spark.sparkContext.broadcast((counts, topics_of(sample, counts)))
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", density double, topic int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = b.column(len(rest))
             have = e.is_valid().to_numpy(zero_copy_only=False)
-            d = np.full(b.num_rows, float(blank))
+            d, topic = np.full(b.num_rows, float(blank)), np.full(b.num_rows, -1, np.int32)
             if have.any():
-                codes = bucket_codes(unit_rows(e.drop_null(), dim))
-                d[have] = np.maximum(1.0, table.value[np.arange(TABLES), codes].mean(axis=1))
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(d)], names=[*rest, "density"])
+                counts, centres = table.value
+                x = unit_rows(e.drop_null(), dim)
+                d[have] = np.maximum(1.0, counts[np.arange(TABLES), bucket_codes(x)].mean(axis=1))
+                topic[have] = nearest(x, centres)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(d), pa.array(topic)], names=[*rest, "density", "topic"])
 
     return cols.mapInArrow(run, schema)
 
@@ -105,9 +123,9 @@ def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed:
     wanted = wanted.select("request_id", F.coalesce("entry_type", F.lit("*")).alias("scope"), "subset_size")
     scopes = wanted.groupBy("scope").agg(F.max("subset_size").alias("most"))
 
-    dense = with_density(e, "embedding", dim).dropDuplicates(["id"])
+    dense = with_density(e, "id", "embedding", dim).dropDuplicates(["id"])
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    race = dense.select("id", "category", "source", F.explode(F.array("entry_type", F.lit("*"))).alias("scope"), (-F.log(u) * F.col("density")).alias("race"))
+    race = dense.select("id", "category", "source", "topic", F.explode(F.array("entry_type", F.lit("*"))).alias("scope"), (-F.log(u) * F.col("density")).alias("race"))
     race = race.join(scopes, "scope")
 
     kinds = race.groupBy("scope", "category", "source").agg(F.count("*").alias("n"))
@@ -122,7 +140,11 @@ def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed:
     inside = Window.partitionBy("scope", "category", "source").orderBy("race", "id")
     limit = scopes.agg(F.max("most").alias("m")).first()["m"] or 0
     ranked = race.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= int(min(limit, 2**31 - 1))).where("rank <= most")
-    turn = ranked.join(sizes, ["scope", "category", "source"]).select("scope", "id", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"))
-    last = Window.partitionBy("request_id").orderBy("turn", "id")
+    turn = ranked.join(sizes, ["scope", "category", "source"]).select("scope", "id", "topic", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"))
+    of_topic = Window.partitionBy("scope", "topic").orderBy("turn", "id")
+    turn = turn.withColumn("nth", F.row_number().over(of_topic)).where(F.col("nth") <= int(min(limit, 2**31 - 1)))
+    topics = race.groupBy("scope").agg(F.countDistinct("topic").alias("topics"))
+    turn = turn.join(topics, "scope").withColumn("held", F.greatest("turn", (F.col("nth") - 1) * F.col("topics")))
+    last = Window.partitionBy("request_id").orderBy("held", "turn", "id")
     picked = turn.join(wanted, "scope").withColumn("place", F.row_number().over(last)).where(F.col("place") <= int(min(limit, 2**31 - 1)))
     return picked.where("place <= subset_size").select("request_id", "id")
