@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import spread
 from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usable
+from tidemark.session import cut
 
 TABLES, BITS = 8, 8
 TOPICS, SAMPLE = 64, 1 << 14
@@ -123,7 +124,8 @@ def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed:
     wanted = wanted.select("request_id", F.coalesce("entry_type", F.lit("*")).alias("scope"), "subset_size")
     scopes = wanted.groupBy("scope").agg(F.max("subset_size").alias("most"))
 
-    dense = with_density(e, "id", "embedding", dim).dropDuplicates(["id"])
+    # Narrow rows, read four times below: written once, so the vectors are read once for the counts and once for this.
+    dense = cut(with_density(e, "id", "embedding", dim).dropDuplicates(["id"]))
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     race = dense.select("id", "category", "source", "topic", F.explode(F.array("entry_type", F.lit("*"))).alias("scope"), (-F.log(u) * F.col("density")).alias("race"))
     race = race.join(scopes, "scope")
