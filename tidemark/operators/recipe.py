@@ -6,6 +6,7 @@ Decimal sums make scores exact and independent of order.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,10 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def from_rows(spark: SparkSession, rows: list[tuple[str, str, str, str]]) -> DataFrame:
     """A recipe from ``(kind, term, class, weight)``; kind is ``keyword`` or ``source``."""
-    return spark.createDataFrame(rows, "kind string, term string, class string, weight string").withColumn("weight", F.col("weight").cast(DECIMAL))
+    names = ["kind", "term", "class", "weight"]
+    # from Arrow it is a local relation, which Catalyst folds; from Python rows every use would be a scan of its own
+    local = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], pa.string()) for i, n in enumerate(names)}))
+    return local.withColumn("weight", F.col("weight").cast(DECIMAL))
 
 
 def from_document(spark: SparkSession, text: DataFrame, column: str = "value") -> DataFrame:
