@@ -75,3 +75,12 @@ def test_frame(spark):
 def test_memo_does_not_change_answers(judge):
     w = garble("Behörde", CHAINS[0])
     assert judge.word(w) == judge.word(w) == Judge(judge.weight, judge.known).word(w)
+
+
+def test_words_outside_the_sample_are_known(spark):
+    """A short stretch in a one-byte chain is found if its word is met anywhere, not only in the fitting sample."""
+    name = "Prüfmann"
+    bad = garble(name, (("cp1252", "cp850"),))
+    rows = [(i, t) for i, t in enumerate(corpus(400, 5))] + [(1000 + i, f"Die Firma nennt {name} im Bericht {i}") for i in range(3)] + [(2000, f"Der Verwalter hat {bad} genannt")]
+    got = {r.doc_id: r.restored for r in garbled_documents(spark.createDataFrame(rows, "doc_id long, text string"), sample=100).collect()}
+    assert got == {2000: f"Der Verwalter hat {name} genannt"}

@@ -9,8 +9,10 @@ of ASCII separates, so a stretch inside an otherwise right text is found and res
 word that is nothing but the wrong signs between intact quotation marks is quoted, not garbled.  U+FFFD
 inside text marks characters that were lost; such documents are found but cannot be got back.
 
-Fitting reads a bounded sample (``SAMPLE`` documents, by a hash of the key); every document is judged in
-one narrow pass, whole.
+Fitting the classifier reads a bounded sample (``SAMPLE`` documents, by a hash of the key).  How often a word is met is
+counted over all documents: a first pass over them, whole, adds up their words and keeps the few documents
+with a word that some chain may explain; the counts of these words and of what the chains make of them are joined to
+the document, and it is judged by them.
 """
 
 from __future__ import annotations
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import spread
+from tidemark.session import cut
 
 SAMPLE = 20_000
 BUCKETS = 1 << 15
-KNOWN = 50_000  # words of the sample that are remembered
+OFTEN = 40  # sightings in the sample that prove a word commoner than another that was not seen twice
+PARTIAL = 1 << 17  # words a task counts before it hands them on
 
 _SINGLE = ("cp1252", "latin-1", "iso8859-15", "cp1250", "iso8859-2", "cp1251", "cp437", "cp850", "mac-roman", "koi8-r")
 CHAINS: list[tuple[tuple[str, str], ...]] = [
@@ -105,8 +109,8 @@ _LOST = "�"
 class Judge:
     """The fitted classifier: ``weight[class, bucket]`` log-probabilities, class 0 right text, class i chain i - 1.
 
-    ``known`` counts the sample's documents by word: a word met oftener than what a chain would
-    make of it is right text, whatever its signs.
+    ``known`` counts documents by word: a word met oftener than what a chain would make of it is right text,
+    whatever its signs.  It needs no more than the words of ``lookups`` for each word judged.
     """
 
     weight: np.ndarray
@@ -114,6 +118,7 @@ class Judge:
     prior: float = 4.0
     gain: float = 1.0
     memo: dict = field(default_factory=dict)
+    asked: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.by_bucket = np.ascontiguousarray(self.weight.T)  # a word reads whole rows
@@ -143,8 +148,8 @@ class Judge:
         met = self.met(word)
         for i in np.argsort(-score, kind="stable")[:tries].tolist():
             c = int(chains[i])
-            back = restore(word, CHAINS[c])
-            if back is None or back == word or _LOST in back or any("\x80" <= ch <= "\x9f" for ch in back):
+            back = _back(word, c)
+            if back is None:
                 continue
             again = self.met(back)
             if met >= 3 and again <= met:
@@ -155,10 +160,29 @@ class Judge:
             # per bigram, since a chain may lengthen the word
             if again < 2 and after / (len(back.encode()) + 1) <= right / len(at) + self.gain and after <= right + 4 * self.gain:
                 continue
-            lettered = any(ch.isascii() and ch.isalpha() for ch in word)
-            return c, back, _is_strict(c) or (lettered and again >= 2)
+            return c, back, _is_strict(c) or (_lettered(word) and again >= 2)
         return None
 
+    def lookups(self, word: str) -> tuple[list[str], bool]:
+        """The words whose counts decide on a word, itself and what the chains that score as right text or better make
+        of it (none where no chain does, since no count can then make the word a garbled one), and whether it can be sure.
+
+        A word met ``OFTEN`` times in the random sample and what a chain makes of it never, or once: were that the
+        commoner one in all documents, the chance of such a sample would be below 2 ** -30, so the chain is left out.
+        """
+        if word in self.asked:
+            return self.asked[word]
+        every = self.by_bucket[bigrams(word)].sum(axis=0)
+        often = self.met(word) >= OFTEN
+        backs = {c: b for c in np.flatnonzero(every[1:] >= every[0]).tolist() if (b := _back(word, c)) is not None and not (often and not self.met(b))}
+        sure = any(_is_strict(c) for c in backs) or (bool(backs) and _lettered(word))
+        got = list(dict.fromkeys(_core(w) for w in (word, *backs.values()))) if backs else [], sure
+        if len(self.asked) > 1 << 18:
+            self.asked.clear()
+        if len(word) <= 64:
+            self.asked[word] = got
+        return got
+
     def quoted(self, text: str, start: int, end: int) -> bool:
         """Is the word at ``start:end`` only wrong signs between intact quotation marks?"""
         core = text[start:end].strip(".,;:!?()")
@@ -201,6 +225,16 @@ def _core(word: str) -> str:
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 
 
+def _back(word: str, chain: int) -> str | None:
+    """What the chain makes of the word, None where that cannot be right text."""
+    back = restore(word, CHAINS[chain])
+    return None if back is None or back == word or _LOST in back or any("\x80" <= ch <= "\x9f" for ch in back) else back
+
+
+def _lettered(word: str) -> bool:
+    return any(ch.isascii() and ch.isalpha() for ch in word)
+
+
 def _is_strict(chain: int) -> bool:
     return CHAINS[chain][0][0] == "utf-8"
 
@@ -230,7 +264,7 @@ def fit(texts: list[str]) -> Judge:
         total = weight.sum(axis=1, keepdims=True)
         scaled = weight / np.maximum(total, 1) * 200_000
         known = Counter(c for d in docs for c in {_core(w) for w in d})
-        common = {w: n for w, n in sorted(known.items(), key=lambda x: (-x[1], x[0]))[:KNOWN] if w and n >= 2}
+        common = {w: n for w, n in known.items() if w and n >= 2}
         judge = Judge(np.log((scaled + 0.2) / (200_000 + 0.2 * BUCKETS)).astype(np.float32), common)
     return judge
 
@@ -268,16 +302,57 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
     texts of ASCII are never affected.
     """
     fitted = judge_for(documents, key, text, sample)
-    judge = documents.sparkSession.sparkContext.broadcast((fitted.weight, fitted.known))
+    spark = documents.sparkSession
+    first = spark.sparkContext.broadcast((fitted.weight, fitted.known))
+    weight = spark.sparkContext.broadcast(fitted.weight)
+    kind = f"`{key}` {documents.schema[key].dataType.simpleString()}"
     names = ["+".join(f"{t}>{w}" for t, w in chain) for chain in CHAINS]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = Judge(*judge.value)
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of two sorts: documents some count may show to be affected, with the words to look up, and words of the
+        documents that the sample's judge leaves alone, with the number of these."""
+        j = Judge(*first.value)
+        met: Counter = Counter()
+
+        def rows(keys: pa.Array, texts: list, asked: list, words: list, n: list) -> pa.RecordBatch:
+            none = len(words)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.concat_arrays([keys, pa.nulls(none, keys.type)]), pa.array(texts + [None] * none, pa.string()), pa.array(asked + [None] * none, pa.list_(pa.string())),
+                    pa.array([None] * len(texts) + words, pa.string()), pa.array([None] * len(texts) + n, pa.int64()),
+                ],
+                names=[key, "text", "asked", "word", "n"],
+            )
+
+        none = None
         for b in batches:
-            keys, chains, losses, texts = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            none = b.column(0).slice(0, 0)
+            at, texts, asked = [], [], []
+            for i, t in enumerate(b.column(1).to_pylist()):
                 if not t or t.isascii():
                     continue
+                words = {w for w in _WORDS.findall(t) if not w.isascii()}
+                needs = [j.lookups(w) for w in words]
+                look = {c for cores, _ in needs for c in cores} if any(sure for _, sure in needs) else set()
+                if look or _LOST in t:
+                    at.append(i)
+                    texts.append(t)
+                    asked.append(sorted(look))
+                if not look or not affected(*j.text(t)):
+                    met.update({_core(w) for w in words})
+            many = len(met) > PARTIAL
+            yield rows(b.column(0).take(pa.array(at, pa.int64())), texts, asked, list(met.keys()) if many else [], list(met.values()) if many else [])
+            if many:
+                met.clear()
+        if met:
+            yield rows(none, [], [], list(met.keys()), list(met.values()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        j = Judge(weight.value, {})
+        for b in batches:
+            keys, chains, losses, texts = [], [], [], []
+            for k, t, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                j.known = {x["word"]: x["n"] for x in known or ()}
                 found, lost = j.text(t)
                 if not affected(found, lost):
                     continue
@@ -296,5 +371,11 @@ def garbled_documents(documents: DataFrame, key: str = "doc_id", text: str = "te
                 [pa.array(keys, b.schema.field(0).type), pa.array(chains, pa.string()), pa.array(losses, pa.int64()), pa.array(texts, pa.string())], names=[key, "chains", "lost", "restored"]
             )
 
-    cols = spread(documents.select(key, text))
-    return cols.mapInArrow(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, chains string, lost long, restored string")
+    cols = spread(documents.select(key, F.col(text).alias("text")))
+    both = cut(cols.mapInArrow(read, f"{kind}, text string, asked array<string>, word string, n long"))
+    # keys repeat and may be null, so the rows are numbered; written before, so numbered alike each time
+    maybe = cut(both.where("asked IS NOT NULL").select(F.monotonically_increasing_id().alias("__row"), key, "text", "asked"))
+    asked = maybe.select("__row", F.explode("asked").alias("word"))
+    met = both.where("word IS NOT NULL").select("word", "n").join(asked.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("n")).where("n >= 2")
+    known = asked.join(met, "word").groupBy("__row").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return maybe.select("__row", key, "text").join(known, "__row", "left").select(key, "text", "known").mapInArrow(run, f"{kind}, chains string, lost long, restored string")
