@@ -37,6 +37,16 @@ def test_dense_topics_do_not_crowd(spark):
     assert sum(1 for i in got if i < 900) < 15  # 91 % of the rows, one of ten topics
 
 
+def test_kinds_in_a_crowded_topic_keep_their_place(spark):
+    """Sources that write about one topic only are all in, though other sources offer many fresh topics."""
+    rng = np.random.default_rng(2)
+    topics = rng.standard_normal((60, 64))
+    e = [(i, "t", "c", f"s{i % 10}", topics[0].tolist(), 1, "x") for i in range(100)] + [(100 + i, "t", "c", "wide", topics[i % 60].tolist(), 1, "x") for i in range(600)]
+    source = {x[0]: x[3] for x in e}
+    got = [x.id for x in varied_subset(spark.createDataFrame(e, SCHEMA), spark.createDataFrame([(1, None, 30)], REQ)).collect()]
+    assert len(got) == 30 and {source[i] for i in got} == set(source.values())
+
+
 def test_empty(spark):
     e, r = spark.createDataFrame(rows(), SCHEMA), spark.createDataFrame([(1, None, 20)], REQ)
     assert varied_subset(e.limit(0), r).count() == 0 and varied_subset(e, r.limit(0)).count() == 0

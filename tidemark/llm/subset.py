@@ -9,10 +9,14 @@ Sources and categories: a record's kind is its (category, source) pair.  Half of
 spread evenly over categories, half evenly over sources; each kind's share follows.  Inside a kind
 the order is an exponential race (smallest ``-ln(u) / weight`` first, weight = 1 / density, u from a hash of
 the key), which is a weighted sample without replacement; kinds are interleaved by
-``(rank - offset) / mass``, so every kind whose share is one place or more is in the subset, exhausted
-kinds give way, and the size is exact.  Independent draws of different kinds still meet in one topic, so a
-record's turn is not before its topic's: topics are the cells of ``TOPICS`` centroids fitted on a bounded
-sample (``SAMPLE``); a cell's second record waits until every cell could have had one, and so on.
+``(rank - offset) / mass``; exhausted kinds give way, and the size is exact.  Independent draws of different kinds
+still meet in one topic, so a record's turn is not before its topic's: topics are the cells of ``TOPICS`` centroids
+fitted on a bounded sample (``SAMPLE``); a cell's second record waits until every cell could have had one, and so on.
+
+The first record of every kind whose share is one place or more goes before all this, so each such kind is in the
+subset; by the race, a kind's own crowded topics do not decide which record that is.  Then come the first records of
+the categories, then of the sources, that have such a share without one of their kinds having it: the categories
+always find room, the sources as far as places go.
 
 Only the first ``k`` of each kind (k = the largest request) can matter, and Spark's window group limit
 drops the others before the shuffle; a kind that holds a third of all rows is thus never gathered unless
@@ -142,11 +146,23 @@ def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed:
     inside = Window.partitionBy("scope", "category", "source").orderBy("race", "id")
     limit = scopes.agg(F.max("most").alias("m")).first()["m"] or 0
     ranked = race.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= int(min(limit, 2**31 - 1))).where("rank <= most")
-    turn = ranked.join(sizes, ["scope", "category", "source"]).select("scope", "id", "topic", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"))
+    turn = ranked.join(sizes, ["scope", "category", "source"]).select("scope", "id", "topic", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"), "category", "source", "rank", "mass")
     of_topic = Window.partitionBy("scope", "topic").orderBy("turn", "id")
-    turn = turn.withColumn("nth", F.row_number().over(of_topic)).where(F.col("nth") <= int(min(limit, 2**31 - 1)))
+    first = turn.where("rank = 1")
+    for c in ("category", "source"):
+        whole = Window.partitionBy("scope", c)
+        first = first.withColumns({f"{c}_first": F.row_number().over(whole.orderBy("turn", "id")), f"{c}_mass": F.sum("mass").over(whole), f"{c}_most": F.max("mass").over(whole)})
+    first = first.drop("category", "source", "rank")
+    later = turn.select("scope", "id", "topic", "turn").withColumn("nth", F.row_number().over(of_topic)).where(F.col("nth") <= int(min(limit, 2**31 - 1)))
+    # a kind's first record stays, however late its topic's turn
+    turn = later.join(first.withColumnsRenamed({"topic": "__topic", "turn": "__turn"}), ["scope", "id"], "full")
+    turn = turn.withColumns({"topic": F.coalesce("topic", "__topic"), "turn": F.coalesce("turn", "__turn"), "nth": F.coalesce("nth", F.lit(int(min(limit, 2**31 - 2)) + 1))}).drop("__topic", "__turn")
     topics = race.groupBy("scope").agg(F.countDistinct("topic").alias("topics"))
     turn = turn.join(topics, "scope").withColumn("held", F.greatest("turn", (F.col("nth") - 1) * F.col("topics")))
-    last = Window.partitionBy("request_id").orderBy("held", "turn", "id")
-    picked = turn.join(wanted, "scope").withColumn("place", F.row_number().over(last)).where(F.col("place") <= int(min(limit, 2**31 - 1)))
+    place = lambda mass: F.col(mass) * F.col("subset_size") >= 1 - 1e-9
+    ahead = F.when(place("mass"), 0)
+    for i, c in enumerate(("category", "source")):
+        ahead = ahead.when((F.col(f"{c}_first") == 1) & place(f"{c}_mass") & ~place(f"{c}_most"), i + 1)
+    last = Window.partitionBy("request_id").orderBy("ahead", "held", "turn", "id")
+    picked = turn.join(wanted, "scope").withColumn("ahead", ahead.otherwise(3)).withColumn("place", F.row_number().over(last)).where(F.col("place") <= int(min(limit, 2**31 - 1)))
     return picked.where("place <= subset_size").select("request_id", "id")
