@@ -44,6 +44,15 @@ def test_sql_functions(spark):
     assert [x.ngram for x in spark.sql("SELECT ngram FROM word_ngrams('A b c', 2) ORDER BY position").collect()] == ["a b", "b c"]
 
 
+def test_student_has_phrases_of_three_and_the_whole_vocabulary(spark, data):
+    from tidemark.plans import more
+
+    values, weights, _ = more._student(spark, data)
+    terms = {r.term for r in weights.select("term").distinct().collect()}
+    assert any(t.count(" ") == 2 for t in terms) and len(terms) > 2000
+    assert terms == {r.term for r in values.select("term").distinct().collect()}
+
+
 def test_jobs(spark):
     reg = jobs.Jobs(spark)
     ok = reg.start("count", lambda j: (j.log("begin"), j.step(1, 1), spark.range(5).count())[-1])

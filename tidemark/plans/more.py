@@ -129,8 +129,8 @@ def _student(spark, d):
     e = C.entries(spark, d, "title", "description", "content", "source_type")
     mine = C.labels(spark, d).where((F.col("profile_id") == C.PROFILE) & store.confirmed())
     t = training.teacher_labels(e, mine, C.model_scores(spark, d))
-    values, vocabulary = features.fit_tfidf(e, X.full_text(), (1, 2), X.recipe_words)
-    words = [r.term for r in vocabulary.orderBy(F.col("cf").desc(), "term").limit(2000).select("term").collect()]  # the vocabulary is bounded
+    values, vocabulary = features.fit_tfidf(e, X.full_text(), words=X.recipe_words)
+    words = [r.term for r in vocabulary.orderBy(F.col("cf").desc(), "term").select("term").collect()]  # the vocabulary is bounded
     number = spark.createDataFrame(list(enumerate(words)), "i int, term string")
     pairs = values.join(F.broadcast(number), "term").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
     from pyspark.ml.linalg import Vectors, VectorUDT
@@ -138,7 +138,7 @@ def _student(spark, d):
     n = len(words)
     sparse = F.udf(lambda x: Vectors.sparse(n, [(r["i"], float(r["value"])) for r in x]), VectorUDT())
     rows = t.join(pairs, KEY).select(*KEY, "label", sparse("x").alias("features"))
-    model = training.fit_logistic(rows, iterations=50)
+    model = training.fit_logistic(rows)
     return values, training.feature_importance(model, words), e
 
 
@@ -146,7 +146,7 @@ def _student(spark, d):
 def q61_distill_student(spark, d):
     """A recipe distilled from the student: signed top words of each class, boosted, normalised, held within the caps."""
     _, weights, e = _student(spark, d)
-    top = recipe.signed_top(weights.where(F.abs("weight") >= recipe.FLOOR), 100).where(~recipe.low_signal())
+    top = recipe.signed_top(weights.where(F.abs("weight") >= recipe.FLOOR), 200).where(~recipe.low_signal())
     r = top.select(F.lit("keyword").alias("kind"), "term", "class", F.round("weight", 4).cast("decimal(18,4)").alias("weight"))
     mine = C.labels(spark, d).where(F.col("profile_id") == C.PROFILE)
     r = recipe.add_priors(recipe.reasoning_boost(r, mine), recipe.pattern_priors(spark, C.PATTERNS))
