@@ -53,6 +53,32 @@ def test_student_has_phrases_of_three_and_the_whole_vocabulary(spark, data):
     assert terms == {r.term for r in values.select("term").distinct().collect()}
 
 
+def test_tfidf_grams_by_brute_force(spark, tmp_path):
+    import math
+    import re
+    import unicodedata
+    from collections import Counter
+
+    from tidemark.plans import core
+
+    texts = ["Été à Zürich heute", "ete a zurich morgen", "Ete in Bern heute", None]
+    frame(spark, ENTRIES, *[{"id": i, "entry_type": "feed_item", "entry_id": i, "title": t, "fetched_at": NOW} for i, t in enumerate(texts)]).write.parquet(f"{tmp_path}/entries.parquet")
+    grams = []
+    for t in texts:
+        w = re.findall(r"\b\w\w+\b", "".join(c for c in unicodedata.normalize("NFKD", t or "") if not unicodedata.combining(c)).lower())
+        grams.append(Counter(" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)))
+    df = Counter(g for c in grams for g in c)
+    idf = {g: math.log(5 / (1 + n)) + 1 for g, n in df.items() if 2 <= n <= 0.95 * 4}
+    got = {r.term: (r.df, r.idf) for r in core.QUERIES["q38_term_df_idf_grams"](spark, str(tmp_path)).collect()}
+    assert got == {g: (df[g], round(x, 6)) for g, x in idf.items()} and "ete zurich" in got
+    top = {(r.entry_id, r.term): r.value for r in core.QUERIES["q39_tfidf_l2_topterms_grams"](spark, str(tmp_path)).collect()}
+    for i, c in enumerate(grams):
+        x = {g: (1 + math.log(n)) * idf[g] for g, n in c.items() if g in idf}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        best = sorted(x, key=lambda g: (-round(x[g] / norm, 6), g))[:3]
+        assert {g: v for (k, g), v in top.items() if k == i} == {g: round(x[g] / norm, 4) for g in best}
+
+
 def test_jobs(spark):
     reg = jobs.Jobs(spark)
     ok = reg.start("count", lambda j: (j.log("begin"), j.step(1, 1), spark.range(5).count())[-1])

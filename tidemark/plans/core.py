@@ -477,6 +477,22 @@ def q39_tfidf_l2_topterms(spark, d):
     return features.top_terms(_tfidf(spark, d)[0], 3)
 
 
+def _tfidf_grams(spark, d):
+    e = entries(spark, d, "title", "description", "content")
+    return features.fit_tfidf(e, X.full_text())
+
+
+@query()
+def q38_term_df_idf_grams(spark, d):
+    """The same over words, pairs and triples without accents, the operator's defaults."""
+    return _tfidf_grams(spark, d)[1].withColumn("idf", F.round("idf", 6))
+
+
+@query()
+def q39_tfidf_l2_topterms_grams(spark, d):
+    return features.top_terms(_tfidf_grams(spark, d)[0], 3)
+
+
 @query(f"WITH {E}, {VEC}, {MODEL} SELECT * FROM ms")
 def q40_linear_head_scores(spark, d):
     return model_scores(spark, d)
