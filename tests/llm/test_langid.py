@@ -84,3 +84,12 @@ def test_held_out_accuracy(spark, data):
     j = told.where("lang IS NOT NULL").join(main, "id")
     share = j.selectExpr("avg(CAST(lang = found AS INT)) AS s").first().s
     assert share == pytest.approx(0.85, abs=0.15)  # declarations themselves are wrong in some rows
+
+
+def test_short_entries_have_a_language(spark):
+    from tidemark.llm.langid import entry_languages
+
+    seg = "array<struct<field:string,first:int,words:int,lang:string,confidence:double>>"
+    rows = [(1, [("title", 0, 3, "de", 0.5), ("content", 0, 4, "fr", 0.75)]), (2, [("title", 0, 4, "de", 0.5), ("content", 0, 7, "fr", 0.9)]), (3, [])]
+    got = {(r.id, r.lang, r.confidence, r.words) for r in entry_languages(spark.createDataFrame(rows, f"id long, segments {seg}")).collect()}
+    assert got == {(1, "fr", 0.75, 4), (2, "fr", 0.9, 7)}

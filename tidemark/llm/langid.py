@@ -337,8 +337,11 @@ def entry_segments(entries: DataFrame, declared: DataFrame, alias: DataFrame) ->
 
 
 def entry_languages(segs: DataFrame, least: int = 6) -> DataFrame:
-    """``(id, lang, confidence, words)``: the languages in each entry, those with a segment of ``least`` words or more."""
-    one = segs.select("id", F.explode("segments").alias("s")).where(F.col("s.words") >= least)
+    """``(id, lang, confidence, words)``: the languages in each entry, those with a segment of ``least`` words or more;
+    where no segment has so many, the language of the longest one (the first of equals)."""
+    long = F.filter("segments", lambda s: s["words"] >= least)
+    longest = F.filter("segments", lambda s: s["words"] == F.array_max(F.transform("segments", lambda x: x["words"])))
+    one = segs.select("id", F.explode(F.when(F.size(long) > 0, long).otherwise(F.slice(longest, 1, 1))).alias("s"))
     share = F.sum(F.col("s.confidence") * F.col("s.words")) / F.sum("s.words")
     return one.groupBy("id", F.col("s.lang").alias("lang")).agg(F.round(share, 6).alias("confidence"), F.sum("s.words").alias("words"))
 
