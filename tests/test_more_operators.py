@@ -79,6 +79,14 @@ def test_tfidf_grams_by_brute_force(spark, tmp_path):
         assert {g: v for (k, g), v in top.items() if k == i} == {g: round(x[g] / norm, 4) for g in best}
 
 
+def test_embedder_reads_every_word():
+    from tidemark.operators.features import hashing_embedder
+
+    start = "word " * 256
+    a, b = hashing_embedder()()([start, start + "quite another end"])
+    assert (a != b).any()
+
+
 def test_jobs(spark):
     reg = jobs.Jobs(spark)
     ok = reg.start("count", lambda j: (j.log("begin"), j.step(1, 1), spark.range(5).count())[-1])

@@ -62,7 +62,7 @@ def hashing_embedder(dim: int = 64):
         def predict(texts: np.ndarray) -> np.ndarray:
             out = np.zeros((len(texts), dim), np.float32)
             for i, t in enumerate(texts):
-                for w in str(t).lower().split()[:256]:
+                for w in str(t).lower().split():
                     h = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
                     out[i, h % dim] += 1.0 if h >> 63 else -1.0
             norm = np.linalg.norm(out, axis=1, keepdims=True)
