@@ -87,6 +87,25 @@ def test_embedder_reads_every_word():
     assert (a != b).any()
 
 
+def test_heads_have_the_full_size(spark, data, monkeypatch):
+    from tidemark.plans import more
+
+    asked = {}
+
+    def head(name):
+        def fit(*_, **sizes):
+            asked[name] = sizes
+            raise InterruptedError
+
+        return fit
+
+    for query, name in ((more.q59_train_lr, "fit_logistic"), (more.q60_train_mlp, "fit_mlp")):
+        monkeypatch.setattr(training, name, head(name))
+        with pytest.raises(InterruptedError):
+            query(spark, data)
+    assert asked == {"fit_logistic": {"iterations": 1000}, "fit_mlp": {"hidden": 256, "iterations": 500}}
+
+
 def test_jobs(spark):
     reg = jobs.Jobs(spark)
     ok = reg.start("count", lambda j: (j.log("begin"), j.step(1, 1), spark.range(5).count())[-1])

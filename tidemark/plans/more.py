@@ -110,7 +110,7 @@ def q59_train_lr(spark, d):
     rows = training.stratified_split(_labelled_vectors(spark, d), "label", 0.2, 42).cache()
     train, test = rows.where("is_test = 0"), rows.where("is_test = 1")
     cal = training.stratified_split(train.drop("is_test"), "label", 0.15, 43)
-    model = training.fit_logistic(cal.where("is_test = 0"), "weight", iterations=200)
+    model = training.fit_logistic(cal.where("is_test = 0"), "weight", iterations=1000)
     return _evaluated(model, test, cal.where("is_test = 1"))
 
 
@@ -120,7 +120,7 @@ def q60_train_mlp(spark, d):
     rows = training.stratified_split(_labelled_vectors(spark, d), "label", 0.2, 42).cache()
     train, test = rows.where("is_test = 0"), rows.where("is_test = 1")
     more = training.oversample(training.replicate(train.drop("is_test")), "label", [*KEY, "copy"])
-    model = training.fit_mlp(more.select("label", "features"), hidden=64, iterations=60)
+    model = training.fit_mlp(more.select("label", "features"), hidden=256, iterations=500)
     return _evaluated(model, test, test)
 
 
