@@ -1,6 +1,6 @@
 import numpy as np
 
-from tidemark.llm.subset import bucket_codes, varied_subset
+from tidemark.llm.subset import _bin, bits_for, bucket_codes, first_places, varied_subset, with_codes, with_density
 
 SCHEMA = "id long, entry_type string, source_category string, source_name string, embedding array<float>, density int, scope string"
 REQ = "request_id long, entry_type string, subset_size long"
@@ -55,3 +55,33 @@ def test_empty(spark):
 def test_codes_depend_on_direction_only():
     x = np.random.default_rng(0).standard_normal((5, 64)).astype(np.float32)
     assert (bucket_codes(x) == bucket_codes(x * 7)).all()
+
+
+def test_inclusion_falls_as_the_inverse_of_the_density(spark):
+    """Three topics of 30, 120 and 480 records: a record's chance is inverse to its topic's size, so the topics share the draws."""
+    rng = np.random.default_rng(4)
+    topic = rng.standard_normal((3, 64))
+    of = [0] * 30 + [1] * 120 + [2] * 480
+    e = spark.createDataFrame([(i, "t", "c", "s", topic[t].tolist(), 1, "x") for i, t in enumerate(of)], SCHEMA).cache()
+    r = spark.createDataFrame([(1, None, 15)], REQ)
+    drawn = np.bincount([of[x.id] for seed in range(8) for x in varied_subset(e, r, seed=seed).collect()], minlength=3)
+    assert drawn.sum() == 120 and drawn.min() >= 25 and drawn.max() <= 55  # 40 each is expected; by size it would be 6, 23 and 91
+
+
+def test_many_buckets_are_joined_with_the_same_result(spark):
+    e = spark.createDataFrame(rows(), SCHEMA).selectExpr("id", "'*' AS scope", "embedding")
+    c = with_codes(e).cache()
+    a, b = ({x.id: x.density for x in with_density(c, 365, most).collect()} for most in (1 << 22, 0))
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a) and len(a) == 365
+    assert bits_for(1 << 17) == 8 and bits_for(1 << 20) == 9 and bits_for(0) == 4
+
+
+def test_places_by_bins_are_those_of_a_sort(spark):
+    df = spark.range(500).selectExpr("id % 3 AS g", "id", "pmod(hash(id), 97) + 1 AS v", "id % 3 * 40 + 5 AS most")
+    df = df.withColumn("bin", _bin(df.v, 4))
+    got = {(x.g, x.id): x.place for x in first_places(df, ["g"], "bin", ["v", "id"], "most", "place").collect()}
+    want = {}
+    for g in range(3):
+        mine = sorted((x.v, x.id) for x in df.collect() if x.g == g)
+        want |= {(g, i): n + 1 for n, (_, i) in enumerate(mine[: g * 40 + 5])}
+    assert got == want

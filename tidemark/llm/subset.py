@@ -2,25 +2,27 @@
 
 Method: the local density of a record is the mean count of the buckets it falls into under ``TABLES``
 independent sign-projection hashes of its vector; a fixed-size weighted sample is drawn with
-probability inverse to it.  The bucket counts are a table of fixed size (``TABLES * 2**BITS``), added up
-on the executors and broadcast, so records are never shuffled for the density.
+probability inverse to it, by an exponential race (smallest ``-ln(u) / weight`` first, weight = 1 / density, u from a
+hash of the key).  The hashes are worked out once, ``DEEP`` bits long, in one pass over the vectors; the counts use the leading
+bits, one more for every eightfold number of rows (``bits_for``): as for any density estimate the bandwidth may shrink with a small power of the
+rows only, else lone vectors outweigh every topic.  Densities are those among the records a request may choose from (its scope).
 
-Sources and categories: a record's kind is its (category, source) pair.  Half of the sample's mass is
-spread evenly over categories, half evenly over sources; each kind's share follows.  Inside a kind
-the order is an exponential race (smallest ``-ln(u) / weight`` first, weight = 1 / density, u from a hash of
-the key), which is a weighted sample without replacement; kinds are interleaved by
-``(rank - offset) / mass``; exhausted kinds give way, and the size is exact.  Independent draws of different kinds
-still meet in one topic, so a record's turn is not before its topic's: topics are the cells of ``TOPICS`` centroids
-fitted on a bounded sample (``SAMPLE``); a cell's second record waits until every cell could have had one, and so on.
+Categories and sources enter as strata that correct the draw: a record's probability is
+
+    1 / density * (0.5 / (C * weight of its category) + 0.5 / (S * weight of its source)),
+
+the weights being sums of 1 / density and C and S the numbers of categories and sources, so each category holds half a C-th of the
+sample at least and each source half an S-th, and inside both crowded regions count no more than sparse ones.  The draw is
+systematic over kinds (category, source): a kind's r-th record in the race has its turn at ``(r - offset) / mass`` with a
+random offset, so a kind gets its expected number of places rounded up or down, and exhausted kinds give way; the size is exact.
 
 The first record of every kind whose share is one place or more goes before all this, so each such kind is in the
-subset; by the race, a kind's own crowded topics do not decide which record that is.  Then come the first records of
-the categories, then of the sources, that have such a share without one of their kinds having it: the categories
-always find room, the sources as far as places go.
+subset.  Then come the first records of the categories, then of the sources, that have such a share without one of their
+kinds having it: the categories always find room, the sources as far as places go.
 
-Only the first ``k`` of each kind (k = the largest request) can matter, and Spark's window group limit
-drops the others before the shuffle; a kind that holds a third of all rows is thus never gathered unless
-the request itself asks for that many.
+Scale: the vectors are read once and never shuffled.  Bucket counts are aggregated by Spark and broadcast: a scope has at most
+``TABLES * 2**bits`` (6 MB at 10**12 rows), and what is not broadcast for want of that bound is joined.  Ranks within a kind and within a request are counted by bins of the ordering value first and only
+ordered inside a bin, so neither a kind nor a request is gathered in one task.
 """
 
 from __future__ import annotations
@@ -28,91 +30,118 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import spread
-from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usable
+from tidemark.llm.vectors import unit_rows, usable
 from tidemark.session import cut
 
-TABLES, BITS = 8, 8
-TOPICS, SAMPLE = 64, 1 << 14
+TABLES = 12
+DEEP = 24  # bits a hash has; the counts use the leading ones
+#: So many bits at so many rows, one more for each eightfold number.
+BITS, AT_ROWS, LEAST_BITS = 8, 1 << 17, 4
+#: So many bucket counts (of all scopes together) are broadcast; more are joined.
+BROADCAST_BUCKETS = 1 << 22
+#: Kinds of more rows are ranked by bins.
+BIG_KIND = 1 << 20
+BROADCAST_KINDS = 100_000
 
 
 def _planes(dim: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, TABLES * BITS)).astype(np.float32)
+    return np.random.default_rng(seed).standard_normal((dim, TABLES * DEEP)).astype(np.float32)
 
 
 def bucket_codes(x: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Bucket numbers, rows x ``TABLES``."""
-    bits = (x @ _planes(x.shape[1], seed) > 0).reshape(len(x), TABLES, BITS)
-    return bits.astype(np.int64) @ (1 << np.arange(BITS))
-
-
-def bucket_counts(df: DataFrame, embedding: str, dim: int) -> np.ndarray:
-    """Counts of all buckets over all usable vectors, ``TABLES`` x ``2**BITS``."""
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((TABLES, 1 << BITS), np.int64)
-        for b in batches:
-            codes = bucket_codes(unit_rows(b.column(0), dim))
-            for t in range(TABLES):
-                total[t] += np.bincount(codes[:, t], minlength=1 << BITS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(TABLES), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], names=["t", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, np.int64) for x in pdf.counts)
-        return pd.DataFrame({"t": [pdf.t.iloc[0]], "counts": [np.asarray(total).tobytes()]})
+    """Bucket numbers of ``DEEP`` bits, rows x ``TABLES``; the table's number stands above them."""
+    bits = (x @ _planes(x.shape[1], seed) > 0).reshape(len(x), TABLES, DEEP)
+    return bits.astype(np.int64) @ (1 << np.arange(DEEP - 1, -1, -1, dtype=np.int64)) + (np.arange(TABLES, dtype=np.int64) << DEEP)
 
-    table = np.zeros((TABLES, 1 << BITS), np.int64)
-    vectors = df.where(usable(embedding, dim)).select(embedding)
-    for r in vectors.mapInArrow(partial, "t int, counts binary").groupBy("t").applyInPandas(add, "t int, counts binary").toLocalIterator():
-        table[r.t] = np.frombuffer(r.counts, np.int64)
-    return table
 
+def bits_for(rows: int) -> int:
+    """Leading bits to count by."""
+    return int(min(DEEP, max(LEAST_BITS, round(BITS + np.log2(max(1, rows) / AT_ROWS) / 3))))
 
-def topics_of(sample: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Centroids of the sample drawn again by inverse density, so that a crowded region gets no more of them than its variety asks for."""
-    if not len(sample):
-        return np.zeros((1, sample.shape[1]), np.float32)
-    w = 1.0 / np.maximum(1.0, counts[np.arange(TABLES), bucket_codes(sample)].mean(axis=1))
-    again = np.unique(np.random.default_rng(3).choice(len(sample), len(sample), p=w / w.sum()))
-    return kmeans(np.unique(sample[again], axis=0), TOPICS, seed=5)
 
-
-def with_density(df: DataFrame, key: str = "id", embedding: str = "embedding", dim: int = 64) -> DataFrame:
-    """``df`` without its vector, with ``density`` (double), the mean bucket count, at least 1, and ``topic`` (int), -1 without
-    a usable vector.
-
-    Records without a usable vector form one bucket of their own: their density is their number.
-    """
-    spark = df.sparkSession
+def with_codes(df: DataFrame, embedding: str = "embedding", dim: int = 64) -> DataFrame:
+    """``df`` without its vector, with ``codes`` (array of long): one bucket a table, or ``[-1]`` without a usable vector."""
     rest = [c for c in df.columns if c != embedding]
     cols = spread(df.select(*rest, F.when(usable(embedding, dim), F.col(embedding)).alias("__e")))
-    counts = bucket_counts(cols, "__e", dim)
-    size = cols.agg(F.count("*").alias("n"), F.count("__e").alias("have")).first()
-    blank = max(1, size["n"] - size["have"])
-    sample = bounded_sample(cols.where("__e IS NOT NULL"), key, "__e", dim, size["have"], SAMPLE)
-    table = spark.sparkContext.broadcast((counts, topics_of(sample, counts)))
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", density double, topic int"
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest) + ", codes array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             e = b.column(len(rest))
             have = e.is_valid().to_numpy(zero_copy_only=False)
-            d, topic = np.full(b.num_rows, float(blank)), np.full(b.num_rows, -1, np.int32)
+            n = np.where(have, TABLES, 1)
+            flat = np.full(int(n.sum()), -1, np.int64)
             if have.any():
-                counts, centres = table.value
-                x = unit_rows(e.drop_null(), dim)
-                d[have] = np.maximum(1.0, counts[np.arange(TABLES), bucket_codes(x)].mean(axis=1))
-                topic[have] = nearest(x, centres)
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), pa.array(d), pa.array(topic)], names=[*rest, "density", "topic"])
+                flat[np.repeat(have, n)] = bucket_codes(unit_rows(e.drop_null(), dim)).ravel()
+            codes = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(rest))), codes], names=[*rest, "codes"])
 
     return cols.mapInArrow(run, schema)
 
 
+def with_density(df: DataFrame, rows: int, most: int = BROADCAST_BUCKETS) -> DataFrame:
+    """``df`` (unique by ``scope, id``, with ``codes``; ``rows`` in all) with ``density`` (double) instead of the codes: the mean number of
+    records of the scope in a record's buckets.  Records without a usable vector form one bucket: their density is their number."""
+    spark = df.sparkSession
+    drop = DEEP - bits_for(rows)
+    short = df.withColumn("codes", F.transform("codes", lambda c: F.when(c < 0, c).otherwise(F.shiftright(c, drop))))
+    counts = cut(short.select("scope", F.explode("codes").alias("code")).groupBy("scope", "code").agg(F.count("*").alias("n")))
+    rest = [c for c in df.columns if c != "codes"]
+    if counts.count() > most:
+        # many scopes: a bucket's rows are the codes of one scope, summed up by record without any table in memory
+        n = short.select("scope", "id", F.explode("codes").alias("code")).join(counts, ["scope", "code"]).groupBy("scope", "id").agg(F.avg("n").alias("density"))
+        return df.select(*rest).join(n, ["scope", "id"])
+    t = counts.toArrow()
+    scope, code, n = np.array(t["scope"].to_pylist(), object), t["code"].to_numpy(), t["n"].to_numpy()
+    known = {}
+    for s in set(scope):
+        mine = np.flatnonzero(scope == s)
+        mine = mine[np.argsort(code[mine])]
+        known[s] = (code[mine], n[mine])
+    table = spark.sparkContext.broadcast(known)
+    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column(b.schema.get_field_index("codes"))
+            size = np.diff(codes.offsets.to_numpy())
+            owner, flat = np.repeat(np.arange(b.num_rows), size), codes.flatten().to_numpy()
+            found = np.zeros(len(flat))
+            names = b.column(b.schema.get_field_index("scope")).dictionary_encode()
+            of = names.indices.to_numpy()[owner]
+            for i, s in enumerate(names.dictionary.to_pylist()):
+                at = np.flatnonzero(of == i)
+                have, many = table.value[s]
+                found[at] = many[np.searchsorted(have, flat[at])]
+            density = np.bincount(owner, weights=found, minlength=b.num_rows) / np.maximum(size, 1)
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in rest), pa.array(density)], names=[*rest, "density"])
+
+    return short.mapInArrow(run, f"{schema}, density double")
+
+
+def _bin(value: Column, steps: int) -> Column:
+    """Number of the bin of a positive value, ``steps`` to a doubling."""
+    return F.floor(F.log2(F.greatest(value, F.lit(1e-300))) * steps).cast("int")
+
+
+def first_places(df: DataFrame, keys: list[str], bin_: str, order: list[str], most: str, name: str) -> DataFrame:
+    """The rows of ``df`` that are among the first ``most`` (a column) of their group, with their place as ``name``.
+
+    Groups are ordered by ``bin_``, which must rise with ``order``: bins are counted, and only those that can hold one of the first are ordered.
+    """
+    counts = df.groupBy(*keys, bin_).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy(bin_)) - F.col("__n")
+    counts = counts.select(*[F.col(k).alias(f"__{k}") for k in [*keys, bin_]], before.alias("__before"))
+    j = df.join(counts, [F.col(k) == F.col(f"__{k}") for k in [*keys, bin_]]).drop(*[f"__{k}" for k in [*keys, bin_]]).where(F.col("__before") < F.col(most))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*keys, bin_).orderBy(*order))
+    return j.withColumn(name, place).where(F.col(name) <= F.col(most)).drop("__before")
+
+
 def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed: int = 11) -> DataFrame:
     """``(request_id, id)``: for each request that many different entries of its type (null: of any type), or all of them.
 
@@ -125,44 +154,36 @@ def varied_subset(entries: DataFrame, requests: DataFrame, dim: int = 64, seed:
         F.col("id").cast("long").alias("id"), "entry_type", category.alias("category"), F.coalesce("source_name", F.lit("")).alias("source"), "embedding"
     ).where("id IS NOT NULL")
     wanted = requests.where("request_id IS NOT NULL AND subset_size > 0").dropDuplicates(["request_id"])
-    wanted = wanted.select("request_id", F.coalesce("entry_type", F.lit("*")).alias("scope"), "subset_size")
+    wanted = cut(wanted.select("request_id", F.coalesce("entry_type", F.lit("*")).alias("scope"), F.col("subset_size").cast("long").alias("subset_size")))
     scopes = wanted.groupBy("scope").agg(F.max("subset_size").alias("most"))
 
-    # Narrow rows, read four times below: written once, so the vectors are read once for the counts and once for this.
-    dense = cut(with_density(e, "id", "embedding", dim).dropDuplicates(["id"]))
+    # Narrow rows from here on: the vectors are read once.
+    once = cut(with_codes(e, "embedding", dim).dropDuplicates(["id"]))
+    scoped = once.withColumn("scope", F.explode(F.array("entry_type", F.lit("*")))).join(scopes, "scope").drop("entry_type")
     u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    race = dense.select("id", "category", "source", "topic", F.explode(F.array("entry_type", F.lit("*"))).alias("scope"), (-F.log(u) * F.col("density")).alias("race"))
-    race = race.join(scopes, "scope")
-
-    kinds = race.groupBy("scope", "category", "source").agg(F.count("*").alias("n"))
-    by_category = F.sum("n").over(Window.partitionBy("scope", "category"))
-    by_source = F.sum("n").over(Window.partitionBy("scope", "source"))
-    sizes = kinds.select("*", by_category.alias("nc"), by_source.alias("ns"))
-    number = sizes.groupBy("scope").agg(F.countDistinct("category").alias("c"), F.countDistinct("source").alias("s"))
-    mass = F.col("n") * (0.5 / (F.col("c") * F.col("nc")) + 0.5 / (F.col("s") * F.col("ns")))
+    race = cut(with_density(scoped, once.count()).withColumn("race", -F.log(u) * F.col("density")))
+
+    kinds = cut(race.groupBy("scope", "category", "source").agg(F.count("*").alias("n"), F.sum(1 / F.col("density")).alias("w")))
+    wc, ws = (F.sum("w").over(Window.partitionBy("scope", c)) for c in ("category", "source"))
+    number = kinds.groupBy("scope").agg(F.countDistinct("category").alias("c"), F.countDistinct("source").alias("s"))
+    mass = F.col("w") * (0.5 / (F.col("c") * F.col("wc")) + 0.5 / (F.col("s") * F.col("ws")))
     offset = (F.pmod(F.xxhash64("scope", "category", "source", F.lit(seed)), F.lit(1 << 20)) + 0.5) / float(1 << 20)
-    sizes = sizes.join(number, "scope").select("scope", "category", "source", mass.alias("mass"), offset.alias("offset"))
+    sizes = kinds.select("*", wc.alias("wc"), ws.alias("ws")).join(number, "scope").select("scope", "category", "source", "n", mass.alias("mass"), offset.alias("offset"))
+    if kinds.count() <= BROADCAST_KINDS:
+        sizes = F.broadcast(sizes)
 
-    inside = Window.partitionBy("scope", "category", "source").orderBy("race", "id")
-    limit = scopes.agg(F.max("most").alias("m")).first()["m"] or 0
-    ranked = race.withColumn("rank", F.row_number().over(inside)).where(F.col("rank") <= int(min(limit, 2**31 - 1))).where("rank <= most")
-    turn = ranked.join(sizes, ["scope", "category", "source"]).select("scope", "id", "topic", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"), "category", "source", "rank", "mass")
-    of_topic = Window.partitionBy("scope", "topic").orderBy("turn", "id")
+    sized = race.join(sizes, ["scope", "category", "source"]).select("scope", "category", "source", "id", "race", "most", "mass", "offset", F.when(F.col("n") > BIG_KIND, _bin(F.col("race"), 64)).otherwise(0).alias("bin"))
+    ranked = first_places(sized, ["scope", "category", "source"], "bin", ["race", "id"], "most", "rank")
+    turn = cut(ranked.select("scope", "id", ((F.col("rank") - F.col("offset")) / F.col("mass")).alias("turn"), "category", "source", "rank", "mass"))
     first = turn.where("rank = 1")
     for c in ("category", "source"):
         whole = Window.partitionBy("scope", c)
         first = first.withColumns({f"{c}_first": F.row_number().over(whole.orderBy("turn", "id")), f"{c}_mass": F.sum("mass").over(whole), f"{c}_most": F.max("mass").over(whole)})
-    first = first.drop("category", "source", "rank")
-    later = turn.select("scope", "id", "topic", "turn").withColumn("nth", F.row_number().over(of_topic)).where(F.col("nth") <= int(min(limit, 2**31 - 1)))
-    # a kind's first record stays, however late its topic's turn
-    turn = later.join(first.withColumnsRenamed({"topic": "__topic", "turn": "__turn"}), ["scope", "id"], "full")
-    turn = turn.withColumns({"topic": F.coalesce("topic", "__topic"), "turn": F.coalesce("turn", "__turn"), "nth": F.coalesce("nth", F.lit(int(min(limit, 2**31 - 2)) + 1))}).drop("__topic", "__turn")
-    topics = race.groupBy("scope").agg(F.countDistinct("topic").alias("topics"))
-    turn = turn.join(topics, "scope").withColumn("held", F.greatest("turn", (F.col("nth") - 1) * F.col("topics")))
+    turn = first.drop("category", "source", "rank").unionByName(turn.where("rank > 1").drop("category", "source", "rank"), allowMissingColumns=True)
     place = lambda mass: F.col(mass) * F.col("subset_size") >= 1 - 1e-9
-    ahead = F.when(place("mass"), 0)
+    ahead = F.when(F.col("category_first").isNotNull() & place("mass"), 0)
     for i, c in enumerate(("category", "source")):
         ahead = ahead.when((F.col(f"{c}_first") == 1) & place(f"{c}_mass") & ~place(f"{c}_most"), i + 1)
-    last = Window.partitionBy("request_id").orderBy("ahead", "held", "turn", "id")
-    picked = turn.join(wanted, "scope").withColumn("ahead", ahead.otherwise(3)).withColumn("place", F.row_number().over(last)).where(F.col("place") <= int(min(limit, 2**31 - 1)))
-    return picked.where("place <= subset_size").select("request_id", "id")
+    asked = turn.join(wanted, "scope").withColumn("ahead", ahead.otherwise(3))
+    asked = asked.withColumn("bin", F.when(F.col("ahead") < 3, F.col("ahead") - 100_000).otherwise(_bin(F.col("turn"), 256)))
+    return first_places(asked, ["request_id"], "bin", ["ahead", "turn", "id"], "subset_size", "place").select("request_id", "id")
