@@ -1,7 +1,7 @@
 """JSON objects out of replies that are almost JSON.
 
 The built-in repairs come first and stay in the JVM; only what no built-in repair makes valid goes to a vectorised
-function with the state machine (missing commas, unclosed strings, lists and objects).
+function with a lenient reader (missing commas, unclosed strings, lists and objects).
 """
 
 from __future__ import annotations
@@ -17,54 +17,85 @@ from pyspark.sql.types import StringType
 
 from tidemark.functions.text import blank, drop_trailing_commas, fenced_json
 
-_VALUE_END = re.compile(r'(["\d\]}el])\s*\n(\s*["{\[])')
-
-
-def close_open(text: str) -> str:
-    """The first object of a text, with whatever it left open closed in the right order."""
-    start = text.find("{")
-    if start < 0:
-        return ""
-    stack, quoted, escaped = [], False, False
-    for i in range(start, len(text)):
-        ch = text[i]
-        if quoted:
-            quoted, escaped = (True, not escaped and ch == "\\") if escaped or ch != '"' else (False, False)
-            continue
-        if ch == '"':
-            quoted, escaped = True, False
-        elif ch in "{[":
-            stack.append("}" if ch == "{" else "]")
-        elif ch in "}]":
-            if stack and stack[-1] == ch:
-                stack.pop()
-            if not stack:
-                return text[start : i + 1]
-    tail = text[start:].rstrip()
-    if quoted:
-        tail += '"'
-    return tail.rstrip(",") + "".join(reversed(stack))
-
-
-def insert_commas(text: str) -> str:
-    """Commas between values that only a line break separates."""
-    return _VALUE_END.sub(r"\1,\n\2", text)
+#: White space, separators, brackets, whole strings, a string the end of the text cuts off, and bare values.
+_TOKEN = re.compile(r"""\s+|[,:{}\[\]]|"(?:[^"\\]|\\.)*"|"(?:[^"\\]|\\.)*\\?\Z|[^\s,:{}\[\]"]+""", re.S)
 
 
-def repair(text: str | None) -> str | None:
-    """A JSON object as text, or None. Tried in turn: closing, commas at line ends, no commas before brackets, all of them."""
-    if not text:
+class _Unreadable(ValueError):
+    pass
+
+
+def read_object(text: str) -> dict | None:
+    """The first object of a text, read leniently; None where there is none or a value is no JSON.
+
+    Commas carry no meaning, so missing and trailing ones do no harm.  A closing bracket ends the innermost container of its
+    kind with all it holds, and is passed over where nothing of its kind is open.  The end of the text ends everything:
+    a cut string is what is there of it, a cut bare value and a name without a value are left out.
+    """
+    begin = text.find("{")
+    if begin < 0:
         return None
-    plain = lambda t: re.sub(r",\s*([}\]])", r"\1", t)
-    closed = close_open(text)
-    for t in (closed, plain(closed), insert_commas(closed), plain(insert_commas(closed)), plain(close_open(insert_commas(text)))):
-        try:
-            got = json.loads(t)
-        except ValueError:
-            continue
-        if isinstance(got, dict):
-            return json.dumps(got, ensure_ascii=False)
-    return None
+    whole: dict = {}
+    open_: list[list] = []  # [container, name that waits for its value]
+
+    def put(value: object) -> None:
+        top = open_[-1]
+        if isinstance(top[0], list):
+            top[0].append(value)
+        elif top[1] is not None:
+            top[0][top[1]], top[1] = value, None
+        elif isinstance(value, str):
+            top[1] = value
+        else:
+            raise _Unreadable
+
+    try:
+        for m in _TOKEN.finditer(text, begin):
+            t = m.group()
+            if t in "{[":
+                inner: dict | list = {} if t == "{" else []
+                if open_:
+                    put(inner)
+                else:
+                    whole = inner
+                open_.append([inner, None])
+            elif t in "}]":
+                kind = dict if t == "}" else list
+                depth = next((i for i in range(len(open_) - 1, -1, -1) if isinstance(open_[i][0], kind)), None)
+                if depth is not None:
+                    del open_[depth:]
+                if not open_:
+                    return whole
+            elif t[0] == '"':
+                cut = m.end() == len(text) and (len(t) == 1 or not _closed(t))
+                put(json.loads(_mended(t) if cut else t, strict=False))
+            elif t not in ",:" and not t.isspace():
+                try:
+                    put(json.loads(t))
+                except _Unreadable:
+                    raise
+                except ValueError:
+                    if m.end() < len(text):
+                        return None
+    except ValueError:
+        return None
+    return whole
+
+
+def _closed(t: str) -> bool:
+    """Does a string token end with its own quotation mark?"""
+    return t.endswith('"') and (len(t) - 1 - len(t[:-1].rstrip("\\"))) % 2 == 0
+
+
+def _mended(t: str) -> str:
+    """A cut string, closed; an escape that was cut goes with the cut."""
+    return re.sub(r"\\(u[0-9a-fA-F]{0,3})?\Z", "", t.rstrip()) + '"'
+
+
+def repair(text: str | None) -> str | None:
+    """The first object of a text as valid JSON, or None."""
+    got = read_object(text) if text else None
+    return None if got is None else json.dumps(got, ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())

@@ -123,7 +123,7 @@ def label_display(c: Column) -> Column:
 
 
 def percent(c: Column) -> Column:
-    return F.concat(F.round(c * 100, 0).cast("int").cast("string"), F.lit("%"))
+    return F.concat(F.bround(c * 100, 0).cast("int").cast("string"), F.lit("%"))
 
 
 def shorten(c: Column, n: int) -> Column:
@@ -131,16 +131,16 @@ def shorten(c: Column, n: int) -> Column:
 
 
 def hex_colour(c: Column) -> Column:
-    """``#rrggbb`` in lower case from ``#rgb`` or ``#rrggbb`` (the sign may be missing); anything else null."""
-    s = F.lower(F.regexp_replace(F.trim(blank(c)), "^#", ""))
-    return F.when(s.rlike("^[0-9a-f]{3}$"), F.concat(F.lit("#"), F.regexp_replace(s, "(.)", "$1$1"))).when(s.rlike("^[0-9a-f]{6}$"), F.concat(F.lit("#"), s))
+    """``#rrggbb`` in lower case from ``#rgb`` or ``#rrggbb``; anything else null."""
+    s = F.lower(F.trim(blank(c)))
+    return F.when(s.rlike("^#[0-9a-f]{3}$"), F.regexp_replace(s, "([0-9a-f])", "$1$1")).when(s.rlike("^#[0-9a-f]{6}$"), s)
 
 
 def contrast(c: Column) -> Column:
-    """Black or white, whichever reads better on a ``#rrggbb`` colour (perceived brightness of 150 and more: black)."""
+    """Black or white, whichever reads better on a ``#rrggbb`` colour (luminance above 0.55 of 1: black)."""
     part = lambda i: F.conv(F.substring(c, i, 2), 16, 10).cast("int")
-    light = (part(2) * 299 + part(4) * 587 + part(6) * 114) / 1000
-    return F.when(c.isNull(), None).when(light >= 150, F.lit("#000000")).otherwise(F.lit("#ffffff"))
+    light = part(2) * 299 + part(4) * 587 + part(6) * 114
+    return F.when(c.isNull(), None).when(light > 140_250, F.lit("#000000")).otherwise(F.lit("#ffffff"))
 
 
 def fenced_json(c: Column) -> Column:

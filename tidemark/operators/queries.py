@@ -90,8 +90,8 @@ def filled_distribution(labels: DataFrame) -> DataFrame:
 
 
 def category_counts(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled entries by profile and category (blank ones left out)."""
-    j = current_labels(labels).select(*LABEL_KEY).join(entries.select(*KEY, "source_category"), KEY)
+    """Entries with a confirmed label by profile and category (blank ones left out)."""
+    j = current_labels(labels).where(confirmed()).select(*LABEL_KEY).join(entries.select(*KEY, "source_category"), KEY)
     return j.where(F.trim(blank("source_category")) != "").groupBy("profile_id", "source_category").agg(F.count("*").alias("n"))
 
 

@@ -142,8 +142,43 @@ def stabilise(recipe: DataFrame) -> DataFrame:
     return recipe.withColumn("weight", clip(F.col("weight"), cap).cast(DECIMAL)).where(F.abs("weight") >= F.lit(FLOOR).cast(DECIMAL))
 
 
-# Words that tell nothing alone.
-LOW_SIGNAL = "the and der die das und les des une von mit for que per con del los las het een van nie jest oraz".split()
+# Words that tell nothing alone (German, English, French, Italian).
+LOW_SIGNAL = """
+der die das den dem des ein eine einer einem einen und oder aber in im am an auf aus von
+mit ohne zu zum zur für ist sind war waren wird werden nach bei als auch wie was wo wenn dass
+the a an and or but to of in on at for with by from is are was were be been being that this
+le la les de des du un une et ou dans sur pour avec sans est sont été ce cette ces
+il lo gli i l di del della dei delle un una e o in su per con senza è sono era che
+""".split()
+
+# Phrases every recipe gets on top, and by how much in which class.
+TEMPLATE_PHRASES = [
+    ("third country", "investigation_lead", "0.45"), ("third country", "important", "0.25"),
+    ("third countries", "investigation_lead", "0.45"), ("third countries", "important", "0.25"),
+    ("pays tiers", "investigation_lead", "0.45"), ("pays tiers", "important", "0.25"),
+    ("drittstaaten", "investigation_lead", "0.45"), ("drittstaaten", "important", "0.25"),
+    ("member states only", "investigation_lead", "0.55"), ("member states only", "important", "0.2"),
+    ("eu eea", "investigation_lead", "0.45"), ("eu eea", "important", "0.2"),
+    ("eu ewr", "investigation_lead", "0.45"), ("eu ewr", "important", "0.2"),
+    ("market access", "investigation_lead", "0.35"), ("market access", "important", "0.25"),
+    ("single market", "important", "0.25"), ("single market", "background", "0.12"),
+    ("internal market", "important", "0.22"), ("internal market", "background", "0.1"),
+    ("equivalence decision", "investigation_lead", "0.35"), ("equivalence decision", "important", "0.2"),
+    ("conformity assessment", "important", "0.35"), ("conformity assessment", "investigation_lead", "0.18"),
+    ("ce marking", "important", "0.25"), ("ce marking", "background", "0.1"),
+    ("technical regulation", "important", "0.22"), ("technical regulation", "background", "0.12"),
+    ("compliance requirement", "important", "0.28"), ("compliance requirement", "background", "0.1"),
+    ("implementing act", "noise", "0.35"), ("implementing act", "background", "0.12"),
+    ("delegated regulation", "noise", "0.28"), ("delegated regulation", "background", "0.12"),
+    ("corrigendum", "noise", "0.3"), ("annex amendment", "noise", "0.3"),
+    ("administrative procedure", "noise", "0.3"), ("administrative procedure", "background", "0.15"),
+]
+
+# What marks a phrase as one of law.
+PHRASE_MARKERS = [
+    "eu", "eea", "ewr", "third", "country", "member state", "dritt", "tiers", "conformity", "assessment", "market access",
+    "equivalence", "delegated", "implementing", "corrigendum", "annex", "regulation", "directive", "ce marking", "single market",
+]
 
 
 def low_signal(term: str = "term") -> Column:
@@ -182,7 +217,7 @@ def compare(old: DataFrame, new: DataFrame, n: int = 30, shift: float = 0.05) ->
     return a.join(b, ["class", "term"], "full").withColumn("change", change).where("change IS NOT NULL").select("class", "term", "change", "old_weight", "new_weight")
 
 
-def phrase_markers(recipe: DataFrame, markers: list[str], n: int = 12) -> DataFrame:
+def phrase_markers(recipe: DataFrame, markers: list[str] = PHRASE_MARKERS, n: int = 12) -> DataFrame:
     """Phrases of the recipe that contain a marker: ``side`` positive (lead plus 0.7 important) and negative (noise), the top n each."""
     w = recipe.where("kind = 'keyword' AND instr(term, ' ') > 0").groupBy("term").agg(
         *[F.sum(F.when(F.col("class") == c, F.col("weight")).otherwise(F.lit(0).cast(DECIMAL))).alias(c) for c in CLASSES]
@@ -202,9 +237,16 @@ def add_priors(recipe: DataFrame, priors: DataFrame) -> DataFrame:
     return recipe.unionByName(priors.select(*recipe.columns)).groupBy("kind", "term", "class").agg(F.sum("weight").cast(DECIMAL).alias("weight"))
 
 
+def template_priors(spark: SparkSession, patterns: list[str]) -> DataFrame:
+    """The template phrases and the user's own patterns, to be added to a recipe."""
+    fixed = from_rows(spark, [("keyword", t, c, w) for t, c, w in TEMPLATE_PHRASES])
+    return fixed.unionByName(pattern_priors(spark, patterns)) if patterns else fixed
+
+
 def pattern_priors(spark: SparkSession, patterns: list[str]) -> DataFrame:
-    """What a user's patterns add to a recipe as phrases."""
-    t = spark.createDataFrame([(p,) for p in patterns], "p string").select(strip_metacharacters(F.col("p")).alias("term")).where("term != ''").distinct()
+    """What a user's patterns add to a recipe as phrases; patterns of one character name nothing."""
+    named = spark.createDataFrame([(p,) for p in dict.fromkeys(x.strip().lower() for x in patterns)], "p string").where(F.length("p") >= 2)
+    t = named.select(strip_metacharacters(F.col("p")).alias("term")).where("term != ''")
     w = F.explode(F.map_from_arrays(F.array(F.lit(CLASSES[0]), F.lit(CLASSES[1])), F.array(F.lit(PATTERN_LEAD), F.lit(PATTERN_IMPORTANT))))
     return t.select(F.lit("keyword").alias("kind"), "term", w.alias("class", "w")).select("kind", "term", "class", F.col("w").cast(DECIMAL).alias("weight"))
 
@@ -217,7 +259,7 @@ def reasoning_boost(recipe: DataFrame, reasons: DataFrame) -> DataFrame:
     gathered, and a term's fold needs only its own mentions in order.
     """
     r = reasons.where(blank("reasoning") != "").select("label", "updated_at", *KEY, ngrams(recipe_words(F.col("reasoning")), (1, 2, 3)).alias("t"))
-    per = exploded(r, F.col("t"), "label", "updated_at", *KEY).where(~low_signal()).groupBy("label", "updated_at", *KEY, "term").agg(F.count("*").alias("n"))
+    per = exploded(r, F.col("t"), "label", "updated_at", *KEY).where((F.instr("term", " ") > 0) | (F.length("term") >= 3)).groupBy("label", "updated_at", *KEY, "term").agg(F.count("*").alias("n"))
     order = Window.partitionBy("term").orderBy(F.col("updated_at").desc_nulls_last(), *KEY, "label")
     opened = per.withColumn("opener", F.first("label").over(order))
     many = opened.groupBy("term", F.col("label").alias("class")).agg(F.sum("n").alias("n"), F.first("opener").alias("opener"))

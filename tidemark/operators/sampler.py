@@ -14,6 +14,9 @@ from tidemark.schemas import CLASSES, KEY
 # Pool sizes and the order in which pools claim an entry.
 CANDIDATES, UNCERTAIN, CONFLICT, DIVERSE, NEW = 200, 10, 5, 5, 15
 POOLS = {"uncertain": 1, "conflict": 2, "diverse": 3, "new": 4}
+# The order of pools for machine labelling, the least size of its queue, and the greatest of its batch.
+MACHINE_ORDER = {"uncertain": 0, "new": 1, "conflict": 2, "diverse": 3}
+MACHINE_QUEUE, MACHINE_MOST = 120, 200
 
 
 def first_scores(scores: DataFrame) -> DataFrame:
@@ -24,10 +27,10 @@ def first_scores(scores: DataFrame) -> DataFrame:
 
 def uncertain(candidates: DataFrame, scores: DataFrame, n: int = UNCERTAIN) -> DataFrame:
     """The n candidates of highest entropy over the (rounded) class probabilities."""
-    e = scores.select(*KEY, F.round(entropy(F.array(*[F.col(f"p_{c}") for c in CLASSES])), 6).alias("entropy"), F.greatest(*[f"p_{c}" for c in CLASSES]).alias("top"))
+    e = scores.select(*KEY, F.round(entropy(F.array(*[F.col(f"p_{c}") for c in CLASSES])), 6).alias("entropy"), F.greatest(*[f"p_{c}" for c in CLASSES]).alias("top"), "predicted_label")
     j = candidates.select(*KEY).join(e, KEY)
     rows = j.orderBy(F.col("entropy").desc(), *KEY).limit(n)
-    return rows.withColumn("reason", F.concat(F.lit("confidence "), percent(F.col("top"))))
+    return rows.withColumn("reason", F.concat(blank("predicted_label"), F.lit(" ("), percent(F.col("top")), F.lit(")"))).drop("predicted_label")
 
 
 def conflicts(candidates: DataFrame, scores: DataFrame, recipe: DataFrame, n: int = CONFLICT, tokenizer: str = "space") -> DataFrame:
@@ -69,10 +72,17 @@ def merge_pools(rows: DataFrame, limit: int) -> DataFrame:
     return once.orderBy("o", "rank").limit(limit).withColumn("place", F.row_number().over(Window.orderBy("o", "rank"))).select(*KEY, "pool", "place")
 
 
+def machine_batch(limit: int) -> tuple[int, int]:
+    """Size of a batch for machine labelling, held between 1 and ``MACHINE_MOST``, and of the smart queue it is taken from."""
+    n = max(1, min(MACHINE_MOST, limit))
+    return n, max(MACHINE_QUEUE, 2 * n)
+
+
 def synthetic_rank(queue: DataFrame, limit: int) -> DataFrame:
-    """A queue reordered for machine labelling: by pool, then by place; limits are held between 1 and 200."""
-    order = F.element_at(F.create_map(*[F.lit(x) for kv in POOLS.items() for x in kv]), F.col("pool"))
-    n = max(1, min(200, limit))
+    """A smart queue (of the size :func:`machine_batch` tells) reordered for machine labelling: uncertain, new, conflict, diverse, each in
+    the queue's order; cut to the batch's size."""
+    order = F.element_at(F.create_map(*[F.lit(x) for kv in MACHINE_ORDER.items() for x in kv]), F.col("pool"))
+    n, _ = machine_batch(limit)
     return queue.withColumn("o", order).orderBy("o", "place").limit(n).withColumn("turn", F.row_number().over(Window.orderBy("o", "place"))).select(*KEY, "pool", "turn")
 
 

@@ -146,14 +146,45 @@ def apply_merge(local: DataFrame, merged: DataFrame, profile_id: int, now: str,
     return rest.unionByName(d.select(*local.columns))
 
 
+def _imported(local: DataFrame, packaged: DataFrame, profile_id: int) -> DataFrame:
+    """The package's rows with their ``outcome``; ``updated_at`` (or ``labeled_at``) is their time, a missing one the oldest."""
+    time = [blank(c) for c in ("updated_at", "labeled_at") if c in packaged.columns]
+    ok = (F.trim(blank("entry_type")) != "") & (F.trim(blank("label")) != "") & (F.coalesce("entry_id", F.lit(0)) != 0)
+    mine = current_labels(local).where(F.col("profile_id") == profile_id).select(*KEY, blank("updated_at").alias("__mine"), F.col("created_at").alias("__created"), F.lit(True).alias("__have"))
+    j = packaged.withColumns({"__ok": ok, "__time": F.coalesce(*[F.nullif(t, F.lit("")) for t in time], F.lit(""))}).join(mine, KEY, "left")
+    outcome = F.when(~F.col("__ok"), "skipped").when(F.col("__have").isNull(), "imported").when(F.col("__time") > F.col("__mine"), "updated").otherwise("skipped")
+    return j.withColumn("outcome", outcome)
+
+
 def import_labels(local: DataFrame, packaged: DataFrame, profile_id: int) -> DataFrame:
-    """Outcome of importing a package's labels: ``imported, updated, skipped`` over all its rows (invalid and older ones are skipped)."""
-    ok = (F.trim(blank("entry_type")) != "") & valid_label() & (F.coalesce("entry_id", F.lit(0)) != 0)
-    mine = current_labels(local).where(F.col("profile_id") == profile_id).select(*KEY, blank("updated_at").alias("__mine"), F.lit(True).alias("__have"))
-    j = packaged.withColumn("__ok", ok).join(mine, KEY, "left")
-    have = F.col("__have").isNotNull()
-    outcome = F.when(~F.col("__ok"), "skipped").when(~have, "imported").when(blank("labeled_at") > F.col("__mine"), "updated").otherwise("skipped")
-    return j.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Outcome of importing a package's labels: ``imported, updated, skipped`` over all its rows (empty and older ones are skipped)."""
+    return _imported(local, packaged, profile_id).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+def merge_imported(local: DataFrame, packaged: DataFrame, profile_id: int) -> DataFrame:
+    """The label table after an import: newer rows of the package replace the profile's own and keep their times.
+
+    Of a key repeated in the package the newest row counts, then the last label by its text.  The source is ``source`` or
+    ``label_source``; nothing is pending afterwards.
+    """
+    new = keep_last(_imported(local, packaged, profile_id).where("outcome != 'skipped'"), KEY, F.col("__time").desc(), F.col("label").desc())
+    have = set(packaged.columns)
+    source = F.trim(F.coalesce(*[F.nullif(F.trim(blank(c)), F.lit("")) for c in ("source", "label_source") if c in have], F.lit("")))
+    given = {
+        "profile_id": F.lit(profile_id).cast("long"), "reasoning": blank("reasoning") if "reasoning" in have else F.lit(""), "label_source": source, "pending_job_id": F.lit(None).cast("string"),
+        "created_at": F.coalesce("__created", blank("created_at") if "created_at" in have else F.lit("")), "updated_at": F.col("__time"),
+    }
+    rows = new.select(*[given.get(c, F.col(c) if c in have else F.lit(None)).cast(local.schema[c].dataType).alias(c) for c in local.columns])
+    return local.join(rows.select(*LABEL_KEY), LABEL_KEY, "left_anti").select(*local.columns).unionByName(rows)
+
+
+def merge_imported_entries(entries: DataFrame, packaged: DataFrame, now: str) -> DataFrame:
+    """The entry table after an import: rows of the package that bring a title insert or overwrite their entry."""
+    cols = [c for c in entries.columns if c not in ("id", "embedding", "fetched_at")]
+    ok = (F.trim(blank("entry_type")) != "") & (F.trim(blank("label")) != "") & (F.coalesce("entry_id", F.lit(0)) != 0) & F.col("title").isNotNull()
+    time = next((c for c in ("updated_at", "labeled_at") if c in packaged.columns), None)
+    d = packaged.where(ok).select(*[(F.col(c) if c in KEY else blank(c) if c in packaged.columns else F.lit("")).alias(c) for c in cols], (blank(time) if time else F.lit("")).alias("fetched_at"))
+    return upsert_entries(entries, d, now)
 
 
 def activate_model(models: DataFrame, record: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from tidemark.schemas import CLASSES, KEY
 HEAD_CLASSES = sorted(CLASSES)
 
 
-def sample_weights(labels: DataFrame, now: str, half_life_days: float = 0, floor: float = 0.25, reasoning_boost: float = 1.0) -> DataFrame:
+def sample_weights(labels: DataFrame, now: str, half_life_days: float = 0, floor: float = 0.2, reasoning_boost: float = 1.0) -> DataFrame:
     """``labels`` with ``weight``: time decay of the last change times the boost of labels that give a reason (0 counts as 1)."""
     boost = F.when(F.trim(blank("reasoning")) != "", F.lit(float(reasoning_boost or 1.0))).otherwise(1.0)
     return labels.withColumn("weight", time_decay(F.col("updated_at"), F.col("created_at"), now, half_life_days, floor) * boost)

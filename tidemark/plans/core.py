@@ -27,7 +27,6 @@ RECIPE = [
     ("source", "rss", "background", "0.0600"), ("source", "mail", "noise", "0.1000"), ("source", "lex_eu", "important", "0.1500"),
 ]
 PATTERNS = ["Franken", "audit office", r"tribun(al|e)", "Einsprache", "   ", "Franken", "huis clos", "recours ("]
-MARKERS = ["kostet", "closed", "tribunal", "office", "liegen"]
 
 
 def entries(spark: SparkSession, d: str, *cols: str) -> DataFrame:
@@ -144,7 +143,7 @@ def q06_label_distribution_zero_filled(spark, d):
     return queries.filled_distribution(table(spark, d, "labels"))
 
 
-@query(f"WITH {E}, {L} SELECT profile_id, source_category, count(*) AS n FROM l JOIN e USING (entry_type, entry_id) WHERE trim(coalesce(source_category, '')) <> '' GROUP BY ALL")
+@query(f"WITH {E}, {L} SELECT profile_id, source_category, count(*) AS n FROM l JOIN e USING (entry_type, entry_id) WHERE {OK} AND trim(coalesce(source_category, '')) <> '' GROUP BY ALL")
 def q07_category_label_counts(spark, d):
     return queries.category_counts(entries(spark, d, "source_category"), table(spark, d, "labels"))
 
@@ -214,7 +213,7 @@ def q12_discard_pending(spark, d):
 
 
 @query(f"""WITH {L}, m AS (SELECT * FROM l WHERE profile_id = {PROFILE}) SELECT outcome, count(*) AS n FROM (SELECT CASE
- WHEN NOT (trim(coalesce(x.entry_type, '')) <> '' AND coalesce(lower(trim(x.label)) IN ({", ".join(f"'{c}'" for c in CLASSES)}), FALSE) AND coalesce(x.entry_id, 0) <> 0) THEN 'skipped'
+ WHEN NOT (trim(coalesce(x.entry_type, '')) <> '' AND trim(coalesce(x.label, '')) <> '' AND coalesce(x.entry_id, 0) <> 0) THEN 'skipped'
  WHEN m.label IS NULL AND m.profile_id IS NULL THEN 'imported' WHEN coalesce(x.labeled_at, '') > coalesce(m.updated_at, '') THEN 'updated' ELSE 'skipped' END AS outcome
  FROM remote_labels x LEFT JOIN m ON m.entry_type = x.entry_type AND m.entry_id = x.entry_id) GROUP BY ALL""")
 def q13_import_labels_merge(spark, d):
@@ -346,7 +345,7 @@ def q27_normalize_scale(spark, d):
 _STAB = "st AS (SELECT kind, term, class, greatest(-cap, least(cap, weight)) AS weight FROM (SELECT *, CAST(CASE WHEN kind = 'source' THEN 0.08 WHEN contains(term, ' ') THEN 0.24 ELSE 0.12 END AS DECIMAL(18,4)) AS cap FROM r) WHERE abs(greatest(-cap, least(cap, weight))) >= 0.01)"
 
 
-@query(f"WITH {R}, {_STAB} SELECT kind, term, class, CAST(weight AS DOUBLE) AS weight FROM st WHERE NOT (NOT contains(term, ' ') AND (length(term) < 3))")
+@query(f"WITH {R}, {_STAB} SELECT kind, term, class, CAST(weight AS DOUBLE) AS weight FROM st WHERE NOT (NOT contains(term, ' ') AND (length(term) < 3 OR term IN ({', '.join(chr(39) + w + chr(39) for w in recipe.LOW_SIGNAL)})))")
 def q28_stabilize_weights(spark, d):
     return recipe.stabilise(base_recipe(spark)).where(~recipe.low_signal()).withColumn("weight", F.col("weight").cast("double"))
 
@@ -393,22 +392,30 @@ def q31_compare_versions(spark, d):
     return c.withColumns({k: F.col(k).cast("double") for k in ("old_weight", "new_weight")})
 
 
-@query(f"""WITH {R}, w AS (SELECT term, sum(CASE WHEN class = 'investigation_lead' THEN weight ELSE 0 END) + 0.7 * sum(CASE WHEN class = 'important' THEN weight ELSE 0 END) AS pos, sum(CASE WHEN class = 'noise' THEN weight ELSE 0 END) AS neg
- FROM r WHERE kind = 'keyword' AND contains(term, ' ') AND ({" OR ".join(f"contains(term, '{m}')" for m in MARKERS)}) GROUP BY ALL), s AS (SELECT 'positive' AS side, term, pos AS score FROM w UNION ALL SELECT 'negative', term, neg FROM w)
+LAWFUL = [("keyword", "third country rules", "investigation_lead", "0.5000"), ("keyword", "delegated regulation", "noise", "0.2800"), ("keyword", "market access", "important", "0.3000"), ("keyword", "annex amendment", "noise", "0.3000")]
+
+
+def _lawful(spark) -> DataFrame:
+    return base_recipe(spark).unionByName(recipe.from_rows(spark, LAWFUL))
+
+
+@query(f"""WITH r(kind, term, class, weight) AS (VALUES {", ".join(f"('{k}', '{t}', '{c}', CAST({w} AS DECIMAL(18,4)))" for k, t, c, w in [*RECIPE, *LAWFUL])}), w AS (SELECT term, sum(CASE WHEN class = 'investigation_lead' THEN weight ELSE 0 END) + 0.7 * sum(CASE WHEN class = 'important' THEN weight ELSE 0 END) AS pos, sum(CASE WHEN class = 'noise' THEN weight ELSE 0 END) AS neg
+ FROM r WHERE kind = 'keyword' AND contains(term, ' ') AND ({" OR ".join(f"contains(term, '{m}')" for m in recipe.PHRASE_MARKERS)}) GROUP BY ALL), s AS (SELECT 'positive' AS side, term, pos AS score FROM w UNION ALL SELECT 'negative', term, neg FROM w)
  SELECT side, term, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY side ORDER BY score DESC, term) AS rank FROM s WHERE score > 0""")
 def q32_legal_patterns(spark, d):
-    return recipe.phrase_markers(base_recipe(spark), MARKERS).withColumn("score", F.col("score").cast("double"))
+    return recipe.phrase_markers(_lawful(spark)).withColumn("score", F.col("score").cast("double"))
 
 
-@query(f"""WITH {R}, p AS (SELECT 'keyword' AS kind, term, class, w AS weight FROM (VALUES ('franken'), ('audit office'), ('tribunale'), ('einsprache'), ('huis clos'), ('recours')) t(term), (VALUES ('investigation_lead', CAST(0.35 AS DECIMAL(18,4))), ('important', CAST(0.15 AS DECIMAL(18,4)))) c(class, w))
+@query(f"""WITH {R}, p AS (SELECT 'keyword' AS kind, term, class, w AS weight FROM (VALUES ('franken'), ('audit office'), ('tribunale'), ('einsprache'), ('huis clos'), ('recours')) t(term), (VALUES ('investigation_lead', CAST(0.35 AS DECIMAL(18,4))), ('important', CAST(0.15 AS DECIMAL(18,4)))) c(class, w)
+ UNION ALL SELECT * FROM (VALUES {", ".join(f"('keyword', '{t}', '{c}', CAST({w} AS DECIMAL(18,4)))" for t, c, w in recipe.TEMPLATE_PHRASES)}))
  SELECT kind, term, class, CAST(sum(weight) AS DOUBLE) AS weight FROM (SELECT * FROM r UNION ALL SELECT * FROM p) GROUP BY ALL""")
 def q33_template_boost(spark, d):
-    r = recipe.add_priors(base_recipe(spark), recipe.pattern_priors(spark, PATTERNS))
+    r = recipe.add_priors(base_recipe(spark), recipe.template_priors(spark, PATTERNS))
     return r.withColumn("weight", F.col("weight").cast("double"))
 
 
 _REASON = f"""g AS (SELECT label, updated_at, entry_type, entry_id, term, count(*) AS n FROM (SELECT label, updated_at, entry_type, entry_id, unnest({GRAMS}) AS term FROM
- (SELECT label, updated_at, entry_type, entry_id, {WORDS.format("reasoning")} AS w FROM l WHERE profile_id = {PROFILE} AND coalesce(reasoning, '') <> '')) WHERE NOT (NOT contains(term, ' ') AND (length(term) < 3 OR term IN ({", ".join(f"'{w}'" for w in recipe.LOW_SIGNAL)}))) GROUP BY ALL),
+ (SELECT label, updated_at, entry_type, entry_id, {WORDS.format("reasoning")} AS w FROM l WHERE profile_id = {PROFILE} AND coalesce(reasoning, '') <> '')) WHERE NOT (NOT contains(term, ' ') AND length(term) < 3) GROUP BY ALL),
  o AS (SELECT *, first_value(label) OVER (PARTITION BY term ORDER BY updated_at DESC NULLS LAST, entry_type, entry_id, label) AS opener FROM g), mm AS (SELECT term, label AS class, sum(n) AS n, first(opener) AS opener FROM o GROUP BY ALL),
  j AS (SELECT coalesce(mm.term, k.term) AS term, coalesce(mm.class, k.class) AS class, coalesce(n, 0) AS n, opener, k.weight, EXISTS (SELECT 1 FROM r WHERE r.kind = 'keyword' AND r.term = mm.term) AS known FROM mm FULL JOIN (SELECT term, class, weight FROM r WHERE kind = 'keyword') k ON k.term = mm.term AND k.class = mm.class),
  b AS (SELECT *, CAST(CASE WHEN contains(term, ' ') THEN 1.8 ELSE 1.5 END AS DECIMAL(18,4)) AS boost, weight IS NULL AND NOT known AND opener = class AS opens FROM j),
@@ -527,11 +534,11 @@ _FREE = f"fr AS (SELECT e.* FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.pro
 _NEW = "published_date DESC NULLS LAST, entry_type, entry_id"
 _POOL = f"po AS (SELECT * FROM fr ORDER BY {_NEW} LIMIT 200)"
 _ENT = "round(" + " + ".join(f"CASE WHEN p_{c} > 0 THEN -p_{c} * log2(p_{c}) ELSE 0 END" for c in CLASSES) + ", 6)"
-_UNC = f"un AS (SELECT entry_type, entry_id, {_ENT} AS entropy, greatest({', '.join(f'p_{c}' for c in CLASSES)}) AS top FROM po JOIN ms USING (entry_type, entry_id) ORDER BY entropy DESC, entry_type, entry_id LIMIT 10)"
+_UNC = f"un AS (SELECT entry_type, entry_id, {_ENT} AS entropy, greatest({', '.join(f'p_{c}' for c in CLASSES)}) AS top, predicted_label FROM po JOIN ms USING (entry_type, entry_id) ORDER BY entropy DESC, entry_type, entry_id LIMIT 10)"
 _TOKS = f"tok AS (SELECT entry_type, entry_id, unnest({GRAMS}) AS term FROM (SELECT entry_type, entry_id, CASE WHEN regexp_replace(lower({FULL}), '^\\s+|\\s+$', '', 'g') = '' THEN [] ELSE regexp_split_to_array(regexp_replace(lower({FULL}), '^\\s+|\\s+$', '', 'g'), '\\s+') END AS w FROM po))"
 _SPACE = f"{R}, {_TOKS}, {HITS}, {SCORE.replace('FROM e JOIN', 'FROM po e JOIN').replace('FROM e LEFT', 'FROM po e LEFT')}, {SOFT}"
 _CON = f"co AS (SELECT entry_type, entry_id, ms.predicted_label AS model_label, p.predicted_label AS recipe_label, published_date FROM po JOIN ms USING (entry_type, entry_id) JOIN p USING (entry_type, entry_id) WHERE ms.predicted_label <> p.predicted_label ORDER BY {_NEW} LIMIT 5)"
-_CC = f"cc AS (SELECT source_category, count(*) AS labelled FROM l JOIN e USING (entry_type, entry_id) WHERE l.profile_id = {PROFILE} AND trim(coalesce(source_category, '')) <> '' GROUP BY ALL)"
+_CC = f"cc AS (SELECT source_category, count(*) AS labelled FROM l JOIN e USING (entry_type, entry_id) WHERE l.profile_id = {PROFILE} AND {OK} AND trim(coalesce(source_category, '')) <> '' GROUP BY ALL)"
 _DIV = f"""di AS (SELECT entry_type, entry_id, source_category, coalesce(labelled, 0) AS labelled, published_date FROM (SELECT *, row_number() OVER (PARTITION BY source_category ORDER BY {_NEW}) AS rn FROM fr WHERE trim(coalesce(source_category, '')) <> '') LEFT JOIN cc USING (source_category)
  WHERE rn = 1 ORDER BY labelled, {_NEW} LIMIT 5)"""
 _SAMPLER = f"{E}, {L}, {VEC}, {MODEL}, {_FREE}, {_POOL}, {_UNC}, {_SPACE}, {_CON}, {_CC}, {_DIV}"
@@ -546,7 +553,7 @@ def _pool(spark, d, *cols):
     return queries.unlabeled(e, table(spark, d, "labels"), PROFILE).orderBy(*queries.newest()).limit(sampler.CANDIDATES)
 
 
-@query(f"WITH {_SAMPLER} SELECT entry_type, entry_id, entropy, 'confidence ' || CAST(round(top * 100) AS INTEGER) || '%' AS reason FROM un")
+@query(f"WITH {_SAMPLER} SELECT entry_type, entry_id, entropy, predicted_label || ' (' || CAST(round_even(top * 100, 0) AS INTEGER) || '%)' AS reason FROM un")
 def q43_entropy_topk(spark, d):
     return sampler.uncertain(_pool(spark, d), model_scores(spark, d)).select(*KEY, "entropy", "reason")
 
@@ -561,10 +568,14 @@ def q45_diverse(spark, d):
     return sampler.diverse(entries(spark, d, "published_date", "source_category"), labels(spark, d), PROFILE)
 
 
+def _queue(spark, d, limit):
+    e = entries(spark, d, *_TEXTS, "published_date", "source_category")
+    return sampler.smart_queue(e, labels(spark, d), model_scores(spark, d), base_recipe(spark), PROFILE, limit)
+
+
 @query(f"WITH {_SAMPLER}, {_QUEUE} SELECT entry_type, entry_id, pool, place FROM qu")
 def q46_smart_queue(spark, d):
-    e = entries(spark, d, *_TEXTS, "published_date", "source_category")
-    return sampler.smart_queue(e, labels(spark, d), model_scores(spark, d), base_recipe(spark), PROFILE)
+    return _queue(spark, d, 30)
 
 
 @query(f"WITH {_SAMPLER}, {_QUEUE} SELECT pool, count(*) AS n FROM qu GROUP BY ALL")
@@ -572,9 +583,9 @@ def q46_pool_histogram(spark, d):
     return sampler.pool_histogram(q46_smart_queue(spark, d))
 
 
-@query(f"WITH {_SAMPLER}, {_QUEUE} SELECT entry_type, entry_id, pool, row_number() OVER (ORDER BY o, place) AS turn FROM qu QUALIFY turn <= 20")
+@query(f"""WITH {_SAMPLER}, {_QUEUE.replace("<= 30", "<= 120")} SELECT entry_type, entry_id, pool, row_number() OVER (ORDER BY CASE pool WHEN 'uncertain' THEN 0 WHEN 'new' THEN 1 WHEN 'conflict' THEN 2 WHEN 'diverse' THEN 3 END, place) AS turn FROM qu QUALIFY turn <= 20""")
 def q47_synthetic_rank(spark, d):
-    return sampler.synthetic_rank(q46_smart_queue(spark, d), 20)
+    return sampler.synthetic_rank(_queue(spark, d, sampler.machine_batch(20)[1]), 20)
 
 
 @query(f"WITH {E}, {L}, {VEC}, {MODEL}, {_FREE} SELECT entry_type, entry_id, relevance_score, predicted_label FROM fr JOIN ms USING (entry_type, entry_id) WHERE published_date >= '2025-11-24' ORDER BY relevance_score DESC, {_NEW} LIMIT 30")

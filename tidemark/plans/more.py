@@ -149,7 +149,7 @@ def q61_distill_student(spark, d):
     top = recipe.signed_top(weights.where(F.abs("weight") >= recipe.FLOOR), 200).where(~recipe.low_signal())
     r = top.select(F.lit("keyword").alias("kind"), "term", "class", F.round("weight", 4).cast("decimal(18,4)").alias("weight"))
     mine = C.labels(spark, d).where(F.col("profile_id") == C.PROFILE)
-    r = recipe.add_priors(recipe.reasoning_boost(r, mine), recipe.pattern_priors(spark, C.PATTERNS))
+    r = recipe.add_priors(recipe.reasoning_boost(r, mine), recipe.template_priors(spark, C.PATTERNS))
     r = recipe.normalise(r, recipe.upper_median(recipe.class_scores(e, r)))
     return recipe.stabilise(r).withColumn("weight", F.col("weight").cast("double"))
 
@@ -220,8 +220,8 @@ def q72_display_cards(spark, d):
     return e.select(*KEY, X.shorten(F.col("title"), 300).alias("title"), F.substring("published_date", 1, 10).alias("day"), text.alias("description"), X.shorten(F.col("content"), 600).alias("content"))
 
 
-@query("""WITH a AS (SELECT id, lower(regexp_replace(trim(coalesce(accent_color, '')), '^#', '')) AS s FROM profiles), b AS (SELECT id, CASE WHEN regexp_matches(s, '^[0-9a-f]{3}$') THEN '#' || regexp_replace(s, '(.)', '\\1\\1', 'g') WHEN regexp_matches(s, '^[0-9a-f]{6}$') THEN '#' || s END AS colour FROM a)
- SELECT id, colour, CASE WHEN colour IS NULL THEN NULL WHEN (CAST('0x' || substr(colour, 2, 2) AS INTEGER) * 299 + CAST('0x' || substr(colour, 4, 2) AS INTEGER) * 587 + CAST('0x' || substr(colour, 6, 2) AS INTEGER) * 114) / 1000.0 >= 150 THEN '#000000' ELSE '#ffffff' END AS text_colour FROM b""")
+@query("""WITH a AS (SELECT id, lower(trim(coalesce(accent_color, ''))) AS s FROM profiles), b AS (SELECT id, CASE WHEN regexp_matches(s, '^#[0-9a-f]{3}$') THEN regexp_replace(s, '([0-9a-f])', '\\1\\1', 'g') WHEN regexp_matches(s, '^#[0-9a-f]{6}$') THEN s END AS colour FROM a)
+ SELECT id, colour, CASE WHEN colour IS NULL THEN NULL WHEN (CAST('0x' || substr(colour, 2, 2) AS INTEGER) * 299 + CAST('0x' || substr(colour, 4, 2) AS INTEGER) * 587 + CAST('0x' || substr(colour, 6, 2) AS INTEGER) * 114) / 255000.0 > 0.55 THEN '#000000' ELSE '#ffffff' END AS text_colour FROM b""")
 def q73_accents(spark, d):
     p = table(spark, d, "profiles").select("id", X.hex_colour(F.col("accent_color")).alias("colour"))
     return p.select("id", "colour", X.contrast(F.col("colour")).alias("text_colour"))

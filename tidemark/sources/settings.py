@@ -7,7 +7,7 @@ import os
 from pathlib import Path
 
 DEFAULTS = {
-    "min_labels_to_train": 20, "recipe_top_keywords": 200, "alert_threshold": 0.75, "embedding_dim": 768, "label_time_decay_days": 0, "label_time_decay_floor": 0.25,
+    "min_labels_to_train": 20, "recipe_top_keywords": 200, "alert_threshold": 0.75, "embedding_dim": 768, "label_time_decay_days": 0, "label_time_decay_floor": 0.2,
     "reasoning_weight_boost": 1.0, "discovery_lead_blend": 0.0, "legal_signal_patterns": [], "model_architecture": "transformer", "active_profile_id": None,
 }
 # Least and greatest of each number.

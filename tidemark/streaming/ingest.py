@@ -54,9 +54,19 @@ def latest_labels_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy(*KEY).agg(newest.alias("x")).select(*KEY, "x.*")
 
 
-def retry_queue(stream: DataFrame, time: str, key: list[str] = KEY, delay: str = "1 hour") -> DataFrame:
-    """Queued sends with repeats of a key within ``delay`` dropped."""
-    return _timed(stream, time, delay).dropDuplicatesWithinWatermark(key)
+def retry_queue(stream: DataFrame, time: str, key: list[str] = KEY) -> DataFrame:
+    """Queued sends, one a key: a later send replaces the one that waits (running state, for a sink in update mode).
+
+    Of sends at one time the last by their values counts.
+    """
+    rest = [F.col(c) for c in stream.columns if c not in key]
+    last = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.col(time).cast("string"), F.lit("")), *rest))
+    return stream.groupBy(*key).agg(last.alias("x")).select(*key, "x.*").select(*stream.columns)
+
+
+def sent(queue: DataFrame, keys: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """A queue without what has been sent."""
+    return queue.join(keys.select(*key).distinct(), key, "left_anti")
 
 
 def _timed(events: DataFrame, time: str, late: str) -> DataFrame:
