@@ -3,8 +3,9 @@
 Method: inverted file with product-quantised residuals.  Coarse centroids and residual codebooks are
 fitted on a bounded sample; every vector is filed under its nearest centroid with the code of its
 residual, and is a query to its ``probes`` nearest lists.  In a list, asymmetric distance tables
-(query against codebook) rank the members; the best ``rerank`` are compared exactly, by the
-full vectors, and the ten best of all lists are kept.
+(query against codebook) rank the members; the best ``rerank`` are compared by the members' full vectors with the
+query in 16-bit fixed point (the same in every list), whose error is below ``DOUBT``; of all lists the ten best are kept, and where
+candidates lie so close to the tenth that the error may decide, they are compared again with both full vectors.
 
 Scale: only centroids and codebooks are broadcast (bounded by ``MAX_LISTS`` and the dimension: 16 MB at 64
 numbers); their count follows the number of rows, so lists keep their size until ``MAX_LISTS``.  Beyond
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import join_spread
 from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usable
+from tidemark.session import cut, partitions_for
 
 SAMPLE = 1 << 16
 ROWS_PER_LIST = 900
@@ -37,8 +40,13 @@ SAMPLE_PER_LIST = 48
 PROBES = 7
 SUBSPACES = 32
 RERANK = 200
-MEMBERS_PER_SHARD = 8192
-QUERIES_PER_SHARD = 32768
+MEMBERS_PER_SHARD = 4096
+QUERIES_PER_SHARD = 16384
+#: Rows of one shuffle partition of the lists.
+ROWS_PER_TASK = 25_000
+#: What the error of a similarity by a query in fixed point stays below (its deviation is max|x| / 113,000, six of which this is at a usual
+#: greatest part of 0.37), and how many candidates beyond k are kept to settle what it leaves open.
+DOUBT, SPARE = 2e-5, 6
 
 
 @dataclass
@@ -190,10 +198,10 @@ def _route(index: Index, keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     cells = np.concatenate([r[0] for r in rows])
     take = np.concatenate([r[1] for r in rows])  # members first, then mere queries
     role = np.concatenate([np.full(len(r[1]), r[2], np.int8) for r in rows])
-    # Members travel as float32; a mere query as float16, the same rounding in every list it visits.
+    # Members travel as float32; a mere query in fixed point.
     member = role != 2
-    full, half = np.ascontiguousarray(x[take[member]]), np.ascontiguousarray(x[take[~member]].astype(np.float16))
-    ends = np.cumsum(np.where(member, x.shape[1] * 4, x.shape[1] * 2))
+    full, half = np.ascontiguousarray(x[take[member]]), np.concatenate(_fixed(x[take[~member]]), axis=1)
+    ends = np.cumsum(np.where(member, x.shape[1] * 4, x.shape[1] * 2 + 4))
     vecs = pa.Array.from_buffers(pa.binary(), len(take), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(full.tobytes() + half.tobytes())])
     lens = np.where(member, code.shape[1], 0)
     codes = pa.Array.from_buffers(
@@ -202,6 +210,16 @@ def _route(index: Index, keys: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cells), pa.array(keys[take]), pa.array(role), vecs, codes], schema=_ROUTED)
 
 
+def _fixed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in 16-bit fixed point and their scales (float32 as two 16-bit numbers): the greatest number of a row is 32,767."""
+    scale = (np.abs(x).max(axis=1, keepdims=True) / 32767).astype(np.float32) if len(x) else np.zeros((0, 1), np.float32)
+    return np.rint(x / scale).astype(np.int16), np.ascontiguousarray(scale).view(np.int16)
+
+
+def _float(fixed: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return fixed.astype(np.float32) * np.ascontiguousarray(scale).view(np.float32)
+
+
 def _matrix(col: pa.Array, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype=dtype).reshape(-1, width)
 
@@ -216,9 +234,10 @@ def _search(index: Index, table: pa.Table, k: int, rerank: int) -> pa.Table:
     is_query = (role & 2) == 2
     mkeys = keys[is_member]
     mvec = _matrix(t["vec"].filter(pa.array(is_member)), np.float32, dim)
-    only = _matrix(t["vec"].filter(pa.array(~is_member)), np.float16, dim).astype(np.float32)
+    packed = _matrix(t["vec"].filter(pa.array(~is_member)), np.int16, dim + 2)
+    only = _float(packed[:, :dim], packed[:, dim:])
     qkeys = np.r_[keys[is_member & is_query], keys[~is_member]]
-    qvec = np.concatenate([mvec[is_query[is_member]], only])
+    qvec = np.concatenate([_float(*_fixed(mvec[is_query[is_member]])), only])
     schema = pa.schema([("key", pa.int64()), ("near", pa.list_(pa.struct([("sim", pa.float32()), ("id", pa.int64())])))])
     m = len(mkeys)
     if not m or not len(qkeys):
@@ -226,7 +245,7 @@ def _search(index: Index, table: pa.Table, k: int, rerank: int) -> pa.Table:
     codes = _matrix(t["code"].filter(pa.array(is_member)), np.uint8, SUBSPACES)
     width = dim // SUBSPACES
     top = min(rerank, m)
-    keep = min(k + 1, top)
+    keep = min(k + SPARE + 1, top)
     out_ids, out_sims = [], []
     block = max(16, min(512, (1 << 18) // m))
     for a in range(0, len(qkeys), block):
@@ -265,9 +284,9 @@ def nearest_neighbours(
     index = df.sparkSession.sparkContext.broadcast(fit(bounded_sample(src, "key", "e", dim, rows, SAMPLE), rows, probes, rows_per_list, src))
 
     # Copies of one vector: all keys by the smallest one. Only the hashes of repeated vectors survive the filter.
-    prints = src.select("key", F.xxhash64("e").alias("h")).distinct()
-    firsts = prints.groupBy("h").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = prints.join(firsts, "h").select("key", "first")
+    prints = src.select("key", F.xxhash64("e").alias("h"), F.xxhash64(F.lit("again"), "e").alias("g")).distinct()
+    firsts = prints.groupBy("h", "g").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = join_spread(prints, firsts, ["h", "g"], "key").select("key", "first")
     once = src.dropDuplicates(["key"]).join(copies.where("key != first").select("key"), "key", "left_anti")
 
     def route(batches):
@@ -276,15 +295,33 @@ def nearest_neighbours(
                 yield _route(index.value, b.column(0).to_numpy(), unit_rows(b.column(1), dim))
 
     cells = once.select("key", "e").mapInArrow(route, "cell long, key long, role byte, vec binary, code binary")
+    cells = cells.repartition(partitions_for(df.sparkSession, rows * (probes + 1), ROWS_PER_TASK), "cell")
     found = cells.groupBy("cell").applyInArrow(lambda t: _search(index.value, t, k, rerank), "key long, near array<struct<sim: float, id: long>>")
-    near = found.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k).alias("near"))
-    pairs = near.select("key", F.explode("near").alias("x")).select("key", F.col("x.id").alias("other"), F.col("x.sim").alias("sim"))
+    near = cut(found.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k + SPARE).alias("near")))
+    open_ = F.coalesce(F.get("near", F.lit(k))["sim"] > F.get("near", F.lit(k - 1))["sim"] - 2 * DOUBT, F.lit(False))
+    sure = near.where(~open_).select("key", F.explode(F.slice("near", 1, k)).alias("x")).select("key", F.col("x.id").alias("other"), F.col("x.sim").alias("sim"))
+    pairs = sure.unionByName(_settled(near.where(open_), once, k, dim))
 
     if copies.limit(1).count():
         pairs = _with_copies(pairs, copies, k)
     return pairs.select(F.col("key").alias("id"), F.col("other").alias("neighbour"), F.col("sim").alias("similarity"))
 
 
+def _settled(near: DataFrame, once: DataFrame, k: int, dim: int) -> DataFrame:
+    """The ``k`` best of the candidates by both full vectors, which only these few rows are joined to."""
+    unit = F.transform("e", lambda x: x.cast("double"))
+    pairs = near.select("key", F.explode("near").alias("x")).select("key", F.col("x.id").alias("other"))
+    wanted = pairs.select(F.col("key")).union(pairs.select("other")).distinct()
+    few = once.join(wanted, "key", "left_semi").select("key", unit.alias("e"))
+    both = pairs.join(few, "key").join(few.select(F.col("key").alias("other"), F.col("e").alias("f")), "other")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    big = lambda a: F.transform(a, lambda x: x / F.array_max(F.transform(a, lambda y: F.abs(y))))
+    both = both.select("key", "other", big("e").alias("e"), big("f").alias("f"))
+    sim = (dot("e", "f") / F.sqrt(dot("e", "e") * dot("f", "f"))).cast("float")
+    best = both.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(sim.alias("sim"), F.col("other"))), asc=False), 1, k).alias("near"))
+    return best.select("key", F.explode("near").alias("x")).select("key", "x.other", "x.sim")
+
+
 def _with_copies(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Put the copies of filed vectors back, as neighbours and as queries.
 
