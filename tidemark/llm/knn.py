@@ -4,8 +4,8 @@ Method: inverted file with product-quantised residuals.  Coarse centroids and re
 fitted on a bounded sample; every vector is filed under its nearest centroid with the code of its
 residual, and is a query to its ``probes`` nearest lists.  In a list, asymmetric distance tables
 (query against codebook) rank the members; the best ``rerank`` are compared by the members' full vectors with the
-query in 16-bit fixed point (the same in every list), whose error is below ``DOUBT``; of all lists the ten best are kept, and where
-candidates lie so close to the tenth that the error may decide, they are compared again with both full vectors.
+query in 16-bit fixed point, the same in every list, so that all its similarities carry one rounding (a deviation of max|x| / 113,000 of
+its largest part, a twentieth of a 16-bit float's); of all lists the ten best are kept.
 
 Scale: only centroids and codebooks are broadcast (bounded by ``MAX_LISTS`` and the dimension: 16 MB at 64
 numbers); their count follows the number of rows, so lists keep their size until ``MAX_LISTS``.  Beyond
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import join_spread
 from tidemark.llm.vectors import bounded_sample, kmeans, nearest, unit_rows, usable
-from tidemark.session import cut, partitions_for
+from tidemark.session import partitions_for
 
 SAMPLE = 1 << 16
 ROWS_PER_LIST = 900
@@ -44,9 +44,6 @@ MEMBERS_PER_SHARD = 4096
 QUERIES_PER_SHARD = 16384
 #: Rows of one shuffle partition of the lists.
 ROWS_PER_TASK = 25_000
-#: What the error of a similarity by a query in fixed point stays below (its deviation is max|x| / 113,000, six of which this is at a usual
-#: greatest part of 0.37), and how many candidates beyond k are kept to settle what it leaves open.
-DOUBT, SPARE = 2e-5, 6
 
 
 @dataclass
@@ -245,7 +242,7 @@ def _search(index: Index, table: pa.Table, k: int, rerank: int) -> pa.Table:
     codes = _matrix(t["code"].filter(pa.array(is_member)), np.uint8, SUBSPACES)
     width = dim // SUBSPACES
     top = min(rerank, m)
-    keep = min(k + SPARE + 1, top)
+    keep = min(k + 1, top)
     out_ids, out_sims = [], []
     block = max(16, min(512, (1 << 18) // m))
     for a in range(0, len(qkeys), block):
@@ -297,31 +294,14 @@ def nearest_neighbours(
     cells = once.select("key", "e").mapInArrow(route, "cell long, key long, role byte, vec binary, code binary")
     cells = cells.repartition(partitions_for(df.sparkSession, rows * (probes + 1), ROWS_PER_TASK), "cell")
     found = cells.groupBy("cell").applyInArrow(lambda t: _search(index.value, t, k, rerank), "key long, near array<struct<sim: float, id: long>>")
-    near = cut(found.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k + SPARE).alias("near")))
-    open_ = F.coalesce(F.get("near", F.lit(k))["sim"] > F.get("near", F.lit(k - 1))["sim"] - 2 * DOUBT, F.lit(False))
-    sure = near.where(~open_).select("key", F.explode(F.slice("near", 1, k)).alias("x")).select("key", F.col("x.id").alias("other"), F.col("x.sim").alias("sim"))
-    pairs = sure.unionByName(_settled(near.where(open_), once, k, dim))
+    near = found.groupBy("key").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k).alias("near"))
+    pairs = near.select("key", F.explode("near").alias("x")).select("key", F.col("x.id").alias("other"), F.col("x.sim").alias("sim"))
 
     if copies.limit(1).count():
         pairs = _with_copies(pairs, copies, k)
     return pairs.select(F.col("key").alias("id"), F.col("other").alias("neighbour"), F.col("sim").alias("similarity"))
 
 
-def _settled(near: DataFrame, once: DataFrame, k: int, dim: int) -> DataFrame:
-    """The ``k`` best of the candidates by both full vectors, which only these few rows are joined to."""
-    unit = F.transform("e", lambda x: x.cast("double"))
-    pairs = near.select("key", F.explode("near").alias("x")).select("key", F.col("x.id").alias("other"))
-    wanted = pairs.select(F.col("key")).union(pairs.select("other")).distinct()
-    few = once.join(wanted, "key", "left_semi").select("key", unit.alias("e"))
-    both = pairs.join(few, "key").join(few.select(F.col("key").alias("other"), F.col("e").alias("f")), "other")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    big = lambda a: F.transform(a, lambda x: x / F.array_max(F.transform(a, lambda y: F.abs(y))))
-    both = both.select("key", "other", big("e").alias("e"), big("f").alias("f"))
-    sim = (dot("e", "f") / F.sqrt(dot("e", "e") * dot("f", "f"))).cast("float")
-    best = both.groupBy("key").agg(F.slice(F.sort_array(F.collect_list(F.struct(sim.alias("sim"), F.col("other"))), asc=False), 1, k).alias("near"))
-    return best.select("key", F.explode("near").alias("x")).select("key", "x.other", "x.sim")
-
-
 def _with_copies(pairs: DataFrame, copies: DataFrame, k: int) -> DataFrame:
     """Put the copies of filed vectors back, as neighbours and as queries.
 
