@@ -1,3 +1,4 @@
+import random
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -21,6 +22,16 @@ def test_fill_keeps_the_capacity(sizes):
     assert all(sum(sizes[i] for i in x) <= 64 for x in g)
 
 
+def test_fill_places_every_item_once_where_containers_overflow():
+    """Two or three items a container, where differencing cannot meet the capacity at the least count."""
+    rng = random.Random(2)
+    for _ in range(5):
+        sizes = [min(511, max(1, int(rng.lognormvariate(5, 0.9)))) for _ in range(600)]
+        g = fill(sizes, 512)
+        assert sorted(i for x in g for i in x) == list(range(600)) and max(sum(sizes[i] for i in x) for x in g) <= 512
+        assert len(g) <= 1.08 * -(-sum(sizes) // 512)
+
+
 def test_differencing_balances():
     sums = [sum([8, 7, 6, 5, 4][i] for i in g) for g in differencing([8, 7, 6, 5, 4], 2)]
     assert max(sums) - min(sums) <= 2
@@ -59,5 +70,7 @@ def test_whole_table(spark, data):
     for s in specs.collect():
         mine = out.where(f"spec_id = {s.spec_id}")
         assert mine.select("doc_id").distinct().count() == with_text
+        once = mine.groupBy("doc_id").agg({"token_to": "max", "token_from": "min"}).join(mine.selectExpr("doc_id", "token_to - token_from AS n").groupBy("doc_id").sum("n"), "doc_id")
+        assert once.where("`max(token_to)` != `sum(n)` OR `min(token_from)` != 0").count() == 0  # every token once
         assert mine.selectExpr("container", "token_to - token_from AS n").groupBy("container").sum("n").agg({"sum(n)": "max"}).first()[0] <= s.capacity
     assert pack_documents(docs.limit(0), specs).count() == 0 and pack_documents(docs, specs.limit(0)).count() == 0

@@ -3,19 +3,17 @@
 Method: Karmarkar-Karp multiway differencing.  Items are spread by a hash of their key over windows of
 about ``window_bins`` containers' worth of tokens; each window is split into k near-equal containers
 by largest differencing (the two partial partitions of greatest spread are merged with opposing
-imbalances), k starting at the least possible count and rising while a container exceeds the capacity; of the
-containers that are over full or poorly filled the items are placed anew, largest first, before k rises.
+imbalances), k starting at the least possible count.  Where containers exceed the capacity, the well-filled ones are closed and the
+items of the others are differenced again; where nothing can be closed, k rises.  No other heuristic places anything.
 Only an item longer than the capacity is divided: its full slices fill containers of their own and the
 rest is an item like any other.
 
-The windows' expected size is fixed, so no task grows with the input, and what is lost to rounding k
-up is at most about one container in ``window_bins``.
+The windows' expected size is fixed, in tokens and in items, so no task grows with the input.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left, insort
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut, partitions_for
 
-WINDOW_BINS = 256
+WINDOW_BINS, WINDOW_ITEMS = 256, 8192
 #: So many specs are broadcast; more are joined by a shuffle.
 SPEC_ROWS = 10_000
 
@@ -67,47 +65,29 @@ def differencing(sizes: list[int], k: int) -> list[list[int]]:
     return groups
 
 
-def relieve(groups: list[list[int]], sizes: list[int], capacity: int, slack: float) -> list[list[int]]:
-    """Keep the groups that are full to within ``slack`` of the capacity and not over it; the items of the
-    others go, largest first, to the group with the least sufficient room, or to a new one."""
-    kept, homeless = [], []
-    for g in groups:
-        load = sum(sizes[i] for i in g)
-        kept.append(g) if capacity * (1 - slack) <= load <= capacity else homeless.extend(g)
-    rooms = sorted((capacity - sum(sizes[i] for i in g), at) for at, g in enumerate(kept))
-    for i in sorted(homeless, key=lambda i: -sizes[i]):
-        at = bisect_left(rooms, (sizes[i], -1))
-        if at < len(rooms):
-            room, g = rooms.pop(at)
-        else:
-            room, g = capacity, len(kept)
-            kept.append([])
-        kept[g].append(i)
-        insort(rooms, (room - sizes[i], g))
-    return kept
+#: Containers filled to within this share of the capacity are closed; k rises by a part of itself.
+CLOSED, PART = 0.06, 60
 
 
-def fill(sizes: list[int], capacity: int, more: int = 3) -> list[list[int]]:
-    """Groups with sums of at most ``capacity``; every size is at most ``capacity``.
+def fill(sizes: list[int], capacity: int) -> list[list[int]]:
+    """Groups with sums of at most ``capacity``; every size is at most ``capacity``. All of them are differencing's.
 
-    Differencing runs with k from the least possible count.  Where its containers exceed the capacity,
-    the well-filled ones stay and the rest are refilled (``relieve``), at several slacks; k rises, at
-    most ``more`` times without a gain, and the smallest count found is kept.
+    Differencing runs with k from the least possible count.  Where some of its containers exceed the capacity, those that are full to
+    within ``CLOSED`` of it are closed and the other items are differenced anew; where none is, k rises by a ``PART``-th.
     """
-    if not sizes:
-        return []
-    least = k = max(1, -(-sum(sizes) // capacity))
-    best = None
-    while best is None or k < min(len(best), least + more):
-        groups = differencing(sizes, k)
-        if max(sum(sizes[i] for i in g) for g in groups) <= capacity:
-            return groups if best is None or len(groups) < len(best) else best
-        for slack in (0.02, 0.005, 0.0):
-            tried = relieve(groups, sizes, capacity, slack)
-            if best is None or len(tried) < len(best):
-                best = tried
-        k += 1
-    return best
+    out, rest, more = [], list(range(len(sizes))), 0
+    while rest:
+        k = max(1, -(-sum(sizes[i] for i in rest) // capacity)) + more
+        groups = [[rest[i] for i in g] for g in differencing([sizes[i] for i in rest], k)]
+        loads = [sum(sizes[i] for i in g) for g in groups]
+        if max(loads) <= capacity:
+            return out + groups
+        rest = []
+        for g, load in zip(groups, loads):
+            out.append(g) if capacity * (1 - CLOSED) <= load <= capacity else rest.extend(g)
+        if len(rest) == sum(map(len, groups)):
+            more += max(1, k // PART)
+    return out
 
 
 def pack(sizes: DataFrame, key: str = "doc_id", window_bins: int = WINDOW_BINS) -> DataFrame:
@@ -123,7 +103,7 @@ def pack(sizes: DataFrame, key: str = "doc_id", window_bins: int = WINDOW_BINS)
     counted = totals.agg(F.sum("n").alias("rows"), F.count("*").alias("specs")).first()
     if counted["specs"] <= SPEC_ROWS:
         totals = F.broadcast(totals)
-    windows = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * window_bins)).cast("long"))
+    windows = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * window_bins)).cast("long"), F.ceil(F.col("n") / WINDOW_ITEMS).cast("long"))
     placed = items.join(totals, "spec_id").withColumn("window", F.pmod(F.xxhash64("k", "n_tokens"), windows))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:

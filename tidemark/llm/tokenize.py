@@ -106,6 +106,21 @@ def merge_bytes(piece: bytes, rank) -> list[int]:
     return out
 
 
+class _Lengths(dict):
+    """Numbers of tokens by pre-token, remembered as an encoder's ids are."""
+
+    def __init__(self, of: BytePairEncoder) -> None:
+        self.of = of
+
+    def __missing__(self, text: str) -> int:
+        n = len(self.of.piece(text))
+        if len(self) >= self.of.memo_size:
+            self.clear()
+        if len(text) <= 64:
+            self[text] = n
+        return n
+
+
 class BytePairEncoder:
     """Encoder of one rank file.  ``memo`` keeps at most ``memo_size`` recent pre-tokens, then starts anew."""
 
@@ -115,6 +130,7 @@ class BytePairEncoder:
         self.split = regex.compile(PATTERN).findall
         self.memo: dict[str, list[int]] = {}
         self.memo_size = memo_size
+        self.lengths = _Lengths(self)
 
     def piece(self, text: str) -> list[int]:
         raw = text.encode("utf-8", "surrogatepass")
@@ -139,8 +155,7 @@ class BytePairEncoder:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        memo = self.memo
-        return sum(len(ids if (ids := memo.get(p)) is not None else self.piece(p)) for p in self.split(text))
+        return sum(map(self.lengths.__getitem__, self.split(text)))
 
 
 class LibraryEncoder:
@@ -207,11 +222,16 @@ def token_counts(df: DataFrame, tokenizers: list[str], key: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encs = [encoder(t, folder) for t in tokenizers]
+        ranked = [e for e in encs if isinstance(e, BytePairEncoder)]
         for b in batches:
-            texts = b.column(1).to_pylist()
-            for name, enc in zip(tokenizers, encs):
-                n = pa.array([enc.count(t) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * b.num_rows, pa.string()), n], names=[key, "tokenizer", "n_tokens"])
+            counts: list[list[int]] = [[] for _ in encs]
+            for t in b.column(1):
+                t = t.as_py()
+                parts = ranked[0].split(t) if t and ranked else ()  # rank files share the pattern: a text is split once for all of them
+                for n, enc in zip(counts, encs):
+                    n.append(sum(map(enc.lengths.__getitem__, parts)) if enc in ranked else enc.count(t))
+            for name, n in zip(tokenizers, counts):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([name] * b.num_rows, pa.string()), pa.array(n, pa.int64())], names=[key, "tokenizer", "n_tokens"])
 
     cols = spread(df.select(key, text))
     return cols.mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, tokenizer string, n_tokens long")
