@@ -84,3 +84,9 @@ def test_words_outside_the_sample_are_known(spark):
     rows = [(i, t) for i, t in enumerate(corpus(400, 5))] + [(1000 + i, f"Die Firma nennt {name} im Bericht {i}") for i in range(3)] + [(2000, f"Der Verwalter hat {bad} genannt")]
     got = {r.doc_id: r.restored for r in garbled_documents(spark.createDataFrame(rows, "doc_id long, text string"), sample=100).collect()}
     assert got == {2000: f"Der Verwalter hat {name} genannt"}
+
+
+def test_lost_characters_go_through_the_classifier(judge):
+    assert all(affected(*judge.text(f"der Rat {w} heute")) for w in ("Pr�fung", "Stra��e", "caf�", "�ber"))
+    assert not affected(*judge.text('das Zeichen "�" steht da'))  # quoted
+    assert judge.lost("Zürich") == 0 and judge.lost("Z�rich") == 1

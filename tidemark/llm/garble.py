@@ -6,10 +6,11 @@ inverted and must decode strictly, and the restored word must be likelier as rig
 
 A chain is (bytes' true encoding, encoding they were read with), once or twice.  Words are what white space
 of ASCII separates, so a stretch inside an otherwise right text is found and restored on its own.  A
-word that is nothing but the wrong signs between intact quotation marks is quoted, not garbled.  U+FFFD
-inside text marks characters that were lost; such documents are found but cannot be got back.
+word that is nothing but the wrong signs between intact quotation marks is quoted, not garbled.  Chains that lose characters
+(``LOSSY``: bytes that cannot be read become U+FFFD) are classes of the classifier too: a word with U+FFFD that one of them explains better
+than right text marks its document, which is found but cannot be got back.
 
-Fitting the classifier reads a bounded sample (``SAMPLE`` documents, by a hash of the key).  How often a word is met is
+Fitting the classifier reads a bounded sample (at most about ``SAMPLE`` documents, by a hash of the key).  How often a word is met is
 counted over all documents: a first pass over them, whole, adds up their words and keeps the few documents
 with a word that some chain may explain; the counts of these words and of what the chains make of them are joined to
 the document, and it is judged by them.
@@ -48,6 +49,9 @@ CHAINS: list[tuple[tuple[str, str], ...]] = [
     *[(("cp437", w),) for w in ("cp1252", "latin-1")],
 ]
 
+#: (true encoding, the one it was read with), unreadable bytes becoming U+FFFD.
+LOSSY = [*[(true, "utf-8") for true in ("cp1252", "cp1250", "iso8859-2", "mac-roman", "cp850", "cp1251", "koi8-r")], ("utf-8", "ascii"), ("utf-8", "cp1252"), ("utf-8", "cp1250")]
+
 
 def _table(codec: str) -> str:
     """What each byte reads as; undefined bytes read as the control of the same number, as browsers do."""
@@ -83,6 +87,15 @@ def garble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     return text
 
 
+def spoil(text: str, lossy: tuple[str, str]) -> str | None:
+    """``text`` as a lossy chain leaves it; None where that loses nothing or its true encoding has no such characters."""
+    try:
+        bad = text.encode(lossy[0]).decode(lossy[1], "replace")
+    except UnicodeEncodeError:
+        return None
+    return bad if _LOST in bad else None
+
+
 def restore(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
     """The chain inverted, or None where that is not strictly possible."""
     for true, wrong in reversed(chain):
@@ -107,7 +120,7 @@ _LOST = "�"
 
 @dataclass
 class Judge:
-    """The fitted classifier: ``weight[class, bucket]`` log-probabilities, class 0 right text, class i chain i - 1.
+    """The fitted classifier: ``weight[class, bucket]`` log-probabilities, class 0 right text, then the chains, then the lossy ones.
 
     ``known`` counts documents by word: a word met oftener than what a chain would make of it is right text,
     whatever its signs.  It needs no more than the words of ``lookups`` for each word judged.
@@ -137,16 +150,25 @@ class Judge:
             self.memo[word] = got
         return got
 
-    def _word(self, word: str, chains: list[int] | None = None, tries: int = 6) -> tuple[int, str, bool] | None:
+    def lost(self, word: str) -> int:
+        """Characters lost in a word: its U+FFFD, if a lossy chain explains it as well as right text or better."""
+        if _LOST not in word:
+            return 0
+        every = self.by_bucket[bigrams(word)].sum(axis=0)
+        return word.count(_LOST) if every[1 + len(CHAINS) :].max() >= every[0] else 0
+
+    def _word(self, word: str, chains: list[int] | None = None) -> tuple[int, str, bool] | None:
         at = bigrams(word)
         every = self.by_bucket[at].sum(axis=0)
-        right, score = every[0], every[1:]
+        right, score = every[0], every[1 : 1 + len(CHAINS)]
         if chains is None:
             chains = range(len(CHAINS))
         else:
             score = score[chains]
         met = self.met(word)
-        for i in np.argsort(-score, kind="stable")[:tries].tolist():
+        for i in np.argsort(-score, kind="stable").tolist():
+            if score[i] < right:
+                break
             c = int(chains[i])
             back = _back(word, c)
             if back is None:
@@ -174,7 +196,7 @@ class Judge:
             return self.asked[word]
         every = self.by_bucket[bigrams(word)].sum(axis=0)
         often = self.met(word) >= OFTEN
-        backs = {c: b for c in np.flatnonzero(every[1:] >= every[0]).tolist() if (b := _back(word, c)) is not None and not (often and not self.met(b))}
+        backs = {c: b for c in np.flatnonzero(every[1 : 1 + len(CHAINS)] >= every[0]).tolist() if (b := _back(word, c)) is not None and not (often and not self.met(b))}
         sure = any(_is_strict(c) for c in backs) or (bool(backs) and _lettered(word))
         got = list(dict.fromkeys(_core(w) for w in (word, *backs.values()))) if backs else [], sure
         if len(self.asked) > 1 << 18:
@@ -201,11 +223,12 @@ class Judge:
         word outside ASCII, and words that only an unrelated one-byte chain would explain are left alone.
         """
         words = [m.span() for m in _WORDS.finditer(text) if not m.group().isascii()]
+        lost = sum(self.lost(text[a:z]) for a, z in words if not self.quoted(text, a, z)) if _LOST in text else 0
         got = [None if (g := self.word(text[a:z])) and self.quoted(text, a, z) else g for a, z in words]
         sure = Counter(g[0] for g in got if g and g[2])
         if not sure:
-            return [], text.count(_LOST)
-        main = [c for c, _ in sure.most_common(3)]
+            return [], lost
+        main = [c for c, _ in sure.most_common()]
         found = []
         for (a, z), g in zip(words, got):
             w = text[a:z]
@@ -213,7 +236,7 @@ class Judge:
                 g = None if self.quoted(text, a, z) else self._word(w, main)
             if g:
                 found.append((a, z, g[0], g[1]))
-        return found, text.count(_LOST)
+        return found, lost
 
 
 def _core(word: str) -> str:
@@ -253,7 +276,7 @@ def fit(texts: list[str]) -> Judge:
     # what each class sees of each word, worked out once: its buckets laid end to end, class by class
     words = sorted({w for d in docs for w in d if _LOST not in w})
     number = {w: i for i, w in enumerate(words)}
-    seen = [_seen(words, None), *(_seen(words, chain) for chain in CHAINS)]
+    seen = [_seen(words, None), *(_seen(words, lambda w, c=c: garble(w, c)) for c in CHAINS), *(_seen(words, lambda w, c=c: spoil(w, c)) for c in LOSSY)]
     judge = None
     for _ in range(2):
         if judge is not None:
@@ -269,12 +292,13 @@ def fit(texts: list[str]) -> Judge:
     return judge
 
 
-def _seen(words: list[str], chain) -> tuple[np.ndarray, np.ndarray]:
-    """``(word number, bucket)`` of the words as a chain leaves them, without those it cannot or does not change."""
+def _seen(words: list[str], spoiled) -> tuple[np.ndarray, np.ndarray]:
+    """``(word number, bucket)`` of the words as a chain leaves them, without those it cannot or does not change; of the words themselves
+    without a chain."""
     owners, parts = [], []
     for i, w in enumerate(words):
-        bad = w if chain is None else garble(w, chain)
-        if bad is not None and (chain is None or bad != w):
+        bad = w if spoiled is None else spoiled(w)
+        if bad is not None and (spoiled is None or bad != w):
             b = bigrams(bad)
             owners.append(np.full(len(b), i))
             parts.append(b)
@@ -284,12 +308,13 @@ def _seen(words: list[str], chain) -> tuple[np.ndarray, np.ndarray]:
 
 
 def judge_for(documents: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Judge:
-    """Fit on at most about ``sample`` documents that hold signs outside ASCII, drawn by a hash of the key."""
-    src = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike(r"[^\x00-\x7f]"))
-    rows = src.count()
+    """Fit on those of about ``sample`` documents, drawn by a hash of the key, that hold signs outside ASCII."""
+    src = documents.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = src.count()  # from the files' footers
     grain = 1 << 20
     keep = min(grain, -(-grain * sample // max(rows, 1)))
-    picked = src.where(F.pmod(F.xxhash64("k", F.lit("garble")), F.lit(grain)) < keep).select("k", "t").limit(2 * sample).toArrow()
+    drawn = src.where(F.pmod(F.xxhash64("k", F.lit("garble")), F.lit(grain)) < keep)
+    picked = drawn.where(F.col("t").rlike(r"[^\x00-\x7f]")).limit(2 * sample).toArrow()
     order = np.argsort(picked.column(0).to_numpy(), kind="stable")
     return fit([picked.column(1)[int(i)].as_py() for i in order])
 
