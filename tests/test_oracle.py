@@ -8,10 +8,10 @@ import os
 import duckdb
 import pytest
 
-from tidemark.plans import core, more
+from tidemark.plans import core, extra, more
 
-SQL = core.ORACLE | more.ORACLE
-QUERIES = core.QUERIES | more.QUERIES
+SQL = core.ORACLE | more.ORACLE | extra.ORACLE
+QUERIES = core.QUERIES | more.QUERIES | extra.QUERIES
 
 
 @pytest.fixture(scope="module")

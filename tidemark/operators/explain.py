@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import label_display
 from tidemark.operators.recipe import contributions
 from tidemark.schemas import CLASSES, KEY
+from tidemark.session import cut
 
 ROWS, LEAST, CLASS_ROWS_BELOW, POSITIVE_ABOVE = 8, 0.001, 4, 0.25
 
@@ -22,7 +23,8 @@ def explain_linear(values: DataFrame, weights: DataFrame, scores: DataFrame, n:
 
 def explain_recipe(entries: DataFrame, recipe: DataFrame, scores: DataFrame) -> DataFrame:
     """Recipe phrases behind each score; entries with fewer than four get their class probabilities as further rows."""
-    c = contributions(entries, recipe, scores, ROWS, LEAST).select(*KEY, "rank", F.col("term").alias("feature"), F.col("contribution").cast("double").alias("weight"), "direction")
+    # written once: it is read for the rows and for their number
+    c = cut(contributions(entries, recipe, scores, ROWS, LEAST).select(*KEY, "rank", F.col("term").alias("feature"), F.col("contribution").cast("double").alias("weight"), "direction"))
     n = scores.select(*KEY).join(c.groupBy(*KEY).agg(F.count("*").alias("n")), KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
     classes = F.array(*[F.struct(label_display(F.lit(k)).alias("feature"), F.col(f"p_{k}").alias("p"), F.lit(i + 1).alias("o")) for i, k in enumerate(CLASSES)])
     few = scores.join(n.where(F.col("n") < CLASS_ROWS_BELOW), KEY).select(*KEY, "n", F.explode(classes).alias("x"))

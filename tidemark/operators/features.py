@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tidemark.functions.text import analysed_words, ngrams
 from tidemark.operators.recipe import exploded
 from tidemark.schemas import KEY
+from tidemark.session import cut
 
 
 def term_counts(entries: DataFrame, text: Column, lengths: tuple[int, ...] = (1, 2, 3), words=analysed_words) -> DataFrame:
@@ -39,9 +40,9 @@ def tfidf(counts: DataFrame, frequencies: DataFrame) -> DataFrame:
 
 def fit_tfidf(entries: DataFrame, text: Column, lengths: tuple[int, ...] = (1, 2, 3), words=analysed_words) -> tuple[DataFrame, DataFrame]:
     """``(values, vocabulary)``; where the usual limits leave no term, every term counts (5,000 at most)."""
-    counts = term_counts(entries, text, lengths, words)
+    counts = cut(term_counts(entries, text, lengths, words))  # the texts are taken apart once
     n = entries.count()
-    vocabulary = document_frequencies(counts, n)
+    vocabulary = cut(document_frequencies(counts, n))
     if not vocabulary.limit(1).count():
         vocabulary = document_frequencies(counts, n, 1, 1.0, 5000)
     return tfidf(counts, vocabulary), vocabulary

@@ -6,7 +6,10 @@ The model itself is a client made once a Python worker from a picklable factory:
 
 from __future__ import annotations
 
+import json
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -21,6 +24,9 @@ from tidemark.schemas import CLASSES, KEY
 from tidemark.session import cut
 
 CHUNK = 10
+#: Entries of a hash group, within which chunks are numbered.
+GROUP = 1000
+RULES = f'Label every item with one of: {", ".join(CLASSES)}. Answer with JSON: {{"labels": [{{"entry_id", "entry_type", "label", "reasoning"}}]}}.\n\n'
 REPLY = "labels array<struct<entry_id: string, entry_type: string, label: string, reasoning: string>>"
 
 
@@ -54,15 +60,64 @@ class Replay:
         return self.replies.get(prompt, "{}")
 
 
-def with_retries(ask: Callable[[str], str], retries: int, pause_s: float = 0.5, retry_on: tuple[type[BaseException], ...] = (OSError, TimeoutError)) -> Callable[[str], str]:
-    """A client's call with waits that double; errors of other kinds pass at once."""
+class Refused(Exception):
+    """A reply with an HTTP status of failure."""
+
+    def __init__(self, status: int, text: str) -> None:
+        super().__init__(f"HTTP {status}: {text[:200]}")
+        self.status, self.text = status, text
+
+
+class HttpClient:
+    """A model behind an HTTP endpoint that takes ``{model, temperature, prompt, schema}`` and answers ``{text}``.
+
+    An answer of 400 that speaks of the schema is asked for once more without one, and from then on.
+    """
+
+    def __init__(self, url: str, settings: Settings, headers: dict[str, str] | None = None, schema: dict | None = None) -> None:
+        self.url, self.settings, self.headers, self.schema = url, settings, headers or {}, schema
+
+    def _send(self, prompt: str) -> str:
+        body = {"model": self.settings.model, "temperature": self.settings.temperature, "prompt": prompt} | ({"schema": self.schema} if self.schema else {})
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **self.headers})
+        try:
+            with urllib.request.urlopen(request, timeout=self.settings.timeout_s) as r:
+                return str(json.loads(r.read()).get("text") or "")
+        except urllib.error.HTTPError as e:
+            raise Refused(e.code, e.read().decode("utf-8", "replace")) from e
+
+    def ask(self, prompt: str) -> str:
+        try:
+            return self._send(prompt)
+        except Refused as e:
+            if e.status != 400 or not self.schema or "schema" not in e.text.lower():
+                raise
+            self.schema = None
+            return self._send(prompt)
+
+
+def passing(error: BaseException | None) -> bool:
+    """May a call that failed so succeed later? Looked for along the chain of causes: too many requests, a server's failure, a broken connection."""
+    met = set()
+    while error is not None and id(error) not in met:
+        met.add(id(error))
+        if isinstance(error, Refused):
+            return error.status == 429 or error.status >= 500
+        if isinstance(error, (OSError, TimeoutError)):
+            return True
+        error = error.__cause__ or error.__context__
+    return False
+
+
+def with_retries(ask: Callable[[str], str], retries: int, pause_s: float = 0.5, retry_on: Callable[[BaseException], bool] = passing) -> Callable[[str], str]:
+    """A client's call with waits that double; errors that will not pass are raised at once."""
 
     def call(prompt: str) -> str:
         for i in range(retries + 1):
             try:
                 return ask(prompt)
-            except retry_on:
-                if i == retries:
+            except Exception as e:
+                if i == retries or not retry_on(e):
                     raise
                 time.sleep(pause_s * 2**i)
         raise AssertionError
@@ -81,20 +136,21 @@ def item_text(number: Column | None = None) -> Column:
     line = lambda name, c: F.when(c != "", F.concat(F.lit(f"{name}: "), c))
     head = F.concat(F.lit("Item "), number.cast("string"), F.lit(" - ")) if number is not None else F.lit("")
     first = F.concat(head, F.lit("entry_type: "), F.col("entry_type"), F.lit(", entry_id: "), F.col("entry_id").cast("string"))
-    return F.concat_ws("\n", first, line("source", f["source_name"]), line("category", f["source_category"]), line("date", f["published_date"]), line("title", f["title"]), line("description", f["description"]), line("content", F.substring(f["content"], 1, 2000)))
+    return F.concat_ws("\n", first, line("source", f["source_name"]), line("category", f["source_category"]), line("date", f["published_date"]), line("title", f["title"]), line("description", f["description"]), line("content", f["content"]))
 
 
 def batch_prompts(entries: DataFrame, persona: str = "", chunk: int = CHUNK) -> DataFrame:
     """``(chunk_id, prompt, keys)``: prompts of up to ``chunk`` entries in key order.
 
-    Numbers within a hash group take the place of one global order, so no task sorts all entries.
+    Numbers within a hash group take the place of one global order, so no task sorts all entries; the number of groups follows the
+    number of entries only, so the chunks are the same on any cluster.
     """
-    groups = max(1, entries.rdd.getNumPartitions())
-    g = F.pmod(F.xxhash64(*KEY), F.lit(groups))
+    groups = max(1, -(-entries.count() // GROUP))
+    g = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in KEY])), 1, 8), 16, 10).cast("long"), F.lit(groups))
     n = F.row_number().over(Window.partitionBy("g").orderBy(*KEY)) - 1
     e = entries.withColumn("g", g).withColumn("n", n)
     e = e.withColumn("chunk_id", F.concat_ws("-", "g", F.floor(F.col("n") / chunk))).withColumn("text", item_text(F.col("n") % chunk + 1))
-    rules = F.lit(f"{persona}\nLabel every item with one of: {', '.join(CLASSES)}. Answer with JSON: {{\"labels\": [{{\"entry_id\", \"entry_type\", \"label\", \"reasoning\"}}]}}.\n\n".lstrip())
+    rules = F.lit(f"{persona}\n{RULES}".lstrip())
     per = e.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("n", "text", *KEY))).alias("x"))
     return per.select("chunk_id", F.concat(rules, F.array_join(F.transform("x", lambda i: i["text"]), "\n\n")).alias("prompt"), F.transform("x", lambda i: F.struct(*[i[k].alias(k) for k in KEY])).alias("keys"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scores import argmax, clip, relevance, softmax
 from tidemark.functions.text import blank, full_text, ngrams, recipe_words, space_words, strip_metacharacters
 from tidemark.schemas import CLASSES, DECIMAL, KEY
+from tidemark.session import cut
 
 # Fixed values of the recipe operators.
 CAP_WORD, CAP_PHRASE, CAP_SOURCE, FLOOR = 0.12, 0.24, 0.08, 0.01
@@ -190,7 +191,10 @@ def signed_top(weights: DataFrame, n: int) -> DataFrame:
     """Of each class the ``n // 2`` largest positive and ``n - n // 2`` most negative weights; what is missing to n is filled with
     the largest of the others by absolute value. Ties by term."""
     by_class = Window.partitionBy("class")
-    ranked = weights.select(
+    # only the n largest of each sign can be among them, and this rank is limited before anything is shuffled
+    large = F.row_number().over(Window.partitionBy("class", "__sign").orderBy(F.abs("weight").desc(), "term"))
+    few = weights.withColumn("__sign", F.signum("weight")).withColumn("__r", large).where(F.col("__r") <= n).select(*weights.columns)
+    ranked = few.select(
         "*",
         F.row_number().over(by_class.orderBy(F.when(F.col("weight") > 0, 0).otherwise(1), F.col("weight").desc(), "term")).alias("rp"),
         F.row_number().over(by_class.orderBy(F.when(F.col("weight") < 0, 0).otherwise(1), F.col("weight").asc(), "term")).alias("rn"),
@@ -260,9 +264,11 @@ def reasoning_boost(recipe: DataFrame, reasons: DataFrame) -> DataFrame:
     """
     r = reasons.where(blank("reasoning") != "").select("label", "updated_at", *KEY, ngrams(recipe_words(F.col("reasoning")), (1, 2, 3)).alias("t"))
     per = exploded(r, F.col("t"), "label", "updated_at", *KEY).where((F.instr("term", " ") > 0) | (F.length("term") >= 3)).groupBy("label", "updated_at", *KEY, "term").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("term").orderBy(F.col("updated_at").desc_nulls_last(), *KEY, "label")
-    opened = per.withColumn("opener", F.first("label").over(order))
-    many = opened.groupBy("term", F.col("label").alias("class")).agg(F.sum("n").alias("n"), F.first("opener").alias("opener"))
+    per = cut(per)
+    # the class of a term's first mention (newest reason, then key): two sums instead of an order of all its mentions
+    each = per.groupBy("term", "updated_at").agg(F.min(F.struct(*KEY, "label")).alias("m"))
+    opener = each.groupBy("term").agg(F.max_by("m.label", F.struct(F.col("updated_at").isNotNull(), "updated_at")).alias("opener"))
+    many = per.groupBy("term", F.col("label").alias("class")).agg(F.sum("n").alias("n")).join(opener, "term")
     old = recipe.where("kind = 'keyword'").select("term", "class", "weight")
     known = old.select("term").distinct().withColumn("known", F.lit(True))
     j = many.join(known, "term", "left").join(old, ["term", "class"], "full")

@@ -9,7 +9,9 @@ from tidemark.functions.scores import entropy
 from tidemark.functions.text import blank, percent
 from tidemark.operators.queries import category_counts, newest, unlabeled
 from tidemark.operators.recipe import recipe_scores
+from tidemark.operators.training import hash_order
 from tidemark.schemas import CLASSES, KEY
+from tidemark.session import cut
 
 # Pool sizes and the order in which pools claim an entry.
 CANDIDATES, UNCERTAIN, CONFLICT, DIVERSE, NEW = 200, 10, 5, 5, 15
@@ -53,7 +55,7 @@ def diverse(entries: DataFrame, labels: DataFrame, profile_id: int, n: int = DIV
 
 def smart_queue(entries: DataFrame, labels: DataFrame, scores: DataFrame, recipe: DataFrame, profile_id: int, limit: int = 30) -> DataFrame:
     """``(key, pool, place)``: what to label next, each entry once under the first pool that claims it."""
-    pool = unlabeled(entries, labels, profile_id).orderBy(*newest()).limit(CANDIDATES)
+    pool = cut(unlabeled(entries, labels, profile_id).orderBy(*newest()).limit(CANDIDATES))
     u = uncertain(pool, scores).select(*KEY, F.lit("uncertain").alias("pool"), F.row_number().over(Window.orderBy(F.col("entropy").desc(), *KEY)).alias("rank"))
     dated = pool.select(*KEY, "published_date")
     c = conflicts(pool, scores, recipe).join(dated, KEY)
@@ -72,6 +74,12 @@ def merge_pools(rows: DataFrame, limit: int) -> DataFrame:
     return once.orderBy("o", "rank").limit(limit).withColumn("place", F.row_number().over(Window.orderBy("o", "rank"))).select(*KEY, "pool", "place")
 
 
+def shuffled_page(entries: DataFrame, labels: DataFrame, profile_id: int, seed: int, n: int = 20, newest_of: int = 500) -> DataFrame:
+    """A page of ``n`` of the newest unlabelled entries in an order that only the seed decides."""
+    free = unlabeled(entries.select(*KEY, "published_date"), labels, profile_id).orderBy(*newest()).limit(newest_of)
+    return free.orderBy(hash_order(seed), *KEY).limit(n).select(*KEY)
+
+
 def machine_batch(limit: int) -> tuple[int, int]:
     """Size of a batch for machine labelling, held between 1 and ``MACHINE_MOST``, and of the smart queue it is taken from."""
     n = max(1, min(MACHINE_MOST, limit))

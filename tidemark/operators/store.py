@@ -203,6 +203,32 @@ def set_default_profile(profiles: DataFrame, profile_id: int) -> DataFrame:
     return profiles.withColumn("is_default", F.when(F.col("id") == profile_id, 1).otherwise(0).cast("long"))
 
 
+def update_profile(profiles: DataFrame, profile_id: int, **values: object) -> DataFrame:
+    """Set columns of one profile (name, description, accent, persona, ...); null values and unknown columns change nothing.
+
+    A profile made the default takes that from the others; a ``slug`` in use by another profile is refused.
+    """
+    values = {k: v for k, v in values.items() if v is not None and k in profiles.columns and k != "id"}
+    if "slug" in values and profiles.where((F.col("slug") == values["slug"]) & (F.col("id") != profile_id)).limit(1).count():
+        raise ValueError(f"slug {values['slug']!r} is in use")
+    hit = F.col("id") == profile_id
+    out = profiles.withColumn("is_default", F.lit(0).cast(profiles.schema["is_default"].dataType)) if values.get("is_default") == 1 else profiles
+    return out.select(*[(F.when(hit, F.lit(values[c])).otherwise(F.col(c)).cast(profiles.schema[c].dataType).alias(c) if c in values else F.col(c)) for c in profiles.columns])
+
+
+def profile_record(profiles: DataFrame, profile_id: int) -> DataFrame:
+    """A profile in the older shape of a single model's: ``model_name, description, created_at, profile_id, slug``."""
+    return profiles.where(F.col("id") == profile_id).select(F.col("display_name").alias("model_name"), "description", "created_at", F.col("id").alias("profile_id"), "slug")
+
+
+def set_profile_record(profiles: DataFrame, model_name: str, description: str, profile_id: int, slug: str, now: str) -> DataFrame:
+    """Name and description of a profile; one that is missing is added as the default."""
+    if profiles.where(F.col("id") == profile_id).limit(1).count():
+        return update_profile(profiles, profile_id, display_name=model_name, description=description or "")
+    row = {c: None for c in profiles.columns} | {"id": profile_id, "slug": slug, "display_name": model_name, "description": description or "", "is_default": 1, "created_at": now, "training_settings": "{}"}
+    return profiles.unionByName(profiles.sparkSession.createDataFrame([tuple(row[c] for c in profiles.columns)], profiles.schema))
+
+
 def create_profile(profiles: DataFrame, slug: str, name: str, now: str) -> DataFrame:
     """Add a profile: the first one is the default; a slug in use gets the next free number."""
     spark = profiles.sparkSession

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import CountVectorizer, OneHotEncoder, StandardScaler, StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +14,12 @@ from pyspark.sql import functions as F
 from tidemark.functions.scores import argmax, lead_blend, log_probabilities, relevance, softmax, temperature_grid, time_decay
 from tidemark.functions.text import blank
 from tidemark.schemas import CLASSES, KEY
+from tidemark.session import scratch
 
 #: Alphabetical, the order the heads number their classes in.
 HEAD_CLASSES = sorted(CLASSES)
+#: What the terms of source types begin with.
+SOURCE_TERM = "source_type_"
 
 
 def sample_weights(labels: DataFrame, now: str, half_life_days: float = 0, floor: float = 0.2, reasoning_boost: float = 1.0) -> DataFrame:
@@ -111,18 +116,71 @@ def fit_mlp(rows: DataFrame, hidden: int = 256, iterations: int = 100, seed: int
     return Pipeline(stages=[_indexer(), StandardScaler(inputCol="features", outputCol="z", withMean=True, withStd=True), mlp]).fit(rows)
 
 
-def text_features(vocabulary: int = 1 << 14) -> list:
-    """Stages for the text head: words counted and weighted, the source type one-hot (unknown ones are zeros)."""
-    from pyspark.ml.feature import IDF, Normalizer
+def text_values(entries: DataFrame, lengths: tuple[int, ...] = (1, 2, 3), words=None) -> tuple[DataFrame, DataFrame]:
+    """``(values, vocabulary)``; values are ``(key, term, value)``: TF-IDF of a text's words, pairs and triples (sublinear, smoothed, length 1;
+    10,000 terms, those of two entries or more and of 95 in 100 at most; where that leaves none, 5,000 of any) and ``source_type_<x>``
+    with 1 for its source type."""
+    from tidemark.functions.text import analysed_words, full_text
+    from tidemark.operators.features import fit_tfidf
 
-    return [
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=vocabulary, minDF=2, maxDF=0.95),
-        IDF(inputCol="tf", outputCol="tfidf"),
-        Normalizer(inputCol="tfidf", outputCol="unit", p=2.0),
-        StringIndexer(inputCol="source_type", outputCol="s", handleInvalid="keep"),
-        OneHotEncoder(inputCols=["s"], outputCols=["one_hot"], dropLast=True),
-        VectorAssembler(inputCols=["unit", "one_hot"], outputCol="features"),
-    ]
+    values, vocabulary = fit_tfidf(entries, full_text(), lengths, words or analysed_words)
+    return values.select(*KEY, "term", "value").unionByName(_source_values(entries)), vocabulary
+
+
+def text_values_by(entries: DataFrame, vocabulary: DataFrame, lengths: tuple[int, ...] = (1, 2, 3), words=None) -> DataFrame:
+    """The values of other entries by a vocabulary fitted before."""
+    from tidemark.functions.text import analysed_words, full_text
+    from tidemark.operators.features import term_counts, tfidf
+
+    counts = term_counts(entries, full_text(), lengths, words or analysed_words)
+    return tfidf(counts, vocabulary).select(*KEY, "term", "value").unionByName(_source_values(entries))
+
+
+def _source_values(entries: DataFrame) -> DataFrame:
+    name = F.coalesce(F.nullif("source_type", F.lit("")), F.lit("unknown"))
+    return entries.select(*KEY, F.concat(F.lit(SOURCE_TERM), name).alias("term"), F.lit(1.0).alias("value"))
+
+
+def fit_text_head(rows: DataFrame, values: DataFrame, iterations: int = 1000) -> DataFrame:
+    """``(class, term, weight)`` of a class-balanced logistic head over ``values``; the intercepts have the empty term.
+
+    ``rows``: key, ``label`` and, if any, ``weight``.  The sparse vectors go to MLlib as a libsvm table in the shared folder, so no row passes
+    through Python; the vocabulary is bounded (``text_values``) and numbered on the driver.
+    """
+    spark = rows.sparkSession
+    known = rows.where(F.col("label").isin(HEAD_CLASSES))
+    mine = values.join(known.select(*KEY), KEY, "left_semi")
+    terms = [r.term for r in mine.select("term").distinct().orderBy("term").collect()]
+    number = F.broadcast(spark.createDataFrame(pa.table({"i": pa.array(range(1, len(terms) + 1), pa.int32()), "term": pa.array(terms, pa.string())})))
+    x = mine.join(number, "term").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
+    data = class_balanced(known, "label", "weight" if "weight" in rows.columns else None).join(x, KEY, "left")
+    # a row's weight is a feature of its own on the way through the file
+    y = (F.array_position(F.array(*[F.lit(c) for c in HEAD_CLASSES]), F.col("label")) - 1).cast("string")
+    pairs = F.transform(F.coalesce("x", F.array().cast("array<struct<i:int,value:double>>")), lambda e: F.concat_ws(":", e["i"], e["value"]))
+    line = F.concat_ws(" ", y, F.array_join(pairs, " "), F.concat(F.lit(f"{len(terms) + 1}:"), F.col("w").cast("string")))
+    path = scratch(spark, "libsvm")
+    data.select(line.alias("value")).write.text(path)
+    read = spark.read.format("libsvm").option("numFeatures", len(terms) + 1).load(path)
+    parts = VectorSlicer(inputCol="features", outputCol="w", indices=[len(terms)]).transform(read)
+    parts = parts.withColumn("w", vector_to_array("w")[0])
+    if not terms or parts.select("label").distinct().count() < 2:
+        return spark.createDataFrame([], "class string, term string, weight double")
+    total = parts.agg(F.sum("w").alias("t")).first()["t"]
+    sliced = VectorSlicer(inputCol="features", outputCol="x", indices=list(range(len(terms)))).transform(parts).select("label", "w", "x")
+    lr = LogisticRegression(featuresCol="x", weightCol="w", family="multinomial", standardization=False, regParam=1.0 / total, maxIter=iterations, tol=1e-6)
+    m = lr.fit(sliced)
+    c, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
+    names = [HEAD_CLASSES[i] for i in range(len(c))]
+    at = [(i, j) for i in range(len(c)) for j in np.flatnonzero(c[i])]
+    cols = [[names[i] for i, _ in at] + names, [terms[j] for _, j in at] + [""] * len(names), [float(c[i, j]) for i, j in at] + b.tolist()]
+    return spark.createDataFrame(pa.table({"class": pa.array(cols[0], pa.string()), "term": pa.array(cols[1], pa.string()), "weight": pa.array(cols[2], pa.float64())}))
+
+
+def text_logits(values: DataFrame, head: DataFrame) -> DataFrame:
+    """``(key, logits)`` by a text head: the sum of value times weight of each class, by a join; terms it does not know count nothing."""
+    base = {r["class"]: r["weight"] for r in head.where("term = ''").collect()}  # four at most
+    per = values.join(F.broadcast(head.where("term != ''")), "term", "left").groupBy(*KEY).agg(*[F.sum(F.when(F.col("class") == c, F.col("value") * F.col("weight")).otherwise(0.0)).alias(c) for c in HEAD_CLASSES])
+    return per.select(*KEY, F.array(*[F.col(c) + F.lit(float(base.get(c, 0.0))) for c in HEAD_CLASSES]).alias("logits"))
 
 
 def logits(df: DataFrame) -> DataFrame:

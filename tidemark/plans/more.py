@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as X
 from tidemark.functions.lenient_json import lenient_object
-from tidemark.operators import explain, features, machine_labels, queries, recipe, store, training
+from tidemark.operators import driver, explain, features, machine_labels, queries, recipe, store, training
 from tidemark.plans import core as C
 from tidemark.schemas import CLASSES, KEY
 from tidemark.session import scratch
@@ -79,13 +79,20 @@ def q57_json_lenient(spark, d):
     return got.select("profile_id", *KEY, "x.label", "x.reasoning")
 
 
-@query()
+_FREE = f"fr AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.profile_id = {C.PROFILE} AND l.entry_type = e.entry_type AND l.entry_id = e.entry_id))"
+_SLICE = "CAST('0x' || substr(md5(entry_type || '|' || entry_id), 1, 8) AS BIGINT)"
+_LINE = lambda name, c: f"CASE WHEN coalesce({c}, '') <> '' THEN {len(name) + 3} + length({c}) ELSE 0 END"
+_BLOCK = "32 + length(CAST(n % 10 + 1 AS VARCHAR)) + length(entry_type) + length(CAST(entry_id AS VARCHAR)) + " + " + ".join(_LINE(*x) for x in (("source", "source_name"), ("category", "source_category"), ("date", "published_date"), ("title", "title"), ("description", "description"), ("content", "content")))
+
+
+@query(f"""WITH {C.E}, {C.L}, {_FREE}, g AS (SELECT *, {_SLICE} % (SELECT greatest(1, CAST(ceil(count(*) / 1000.0) AS BIGINT)) FROM fr) AS g FROM fr), n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY entry_type, entry_id) - 1 AS n FROM g)
+ SELECT g || '-' || CAST(floor(n / 10) AS BIGINT) AS chunk_id, count(*) AS n, CAST({len(machine_labels.RULES)} + sum({_BLOCK}) + 2 * (count(*) - 1) AS BIGINT) AS n_chars, '{{}}' AS reply, CAST(NULL AS VARCHAR) AS error FROM n GROUP BY ALL""")
 def q49_prompts(spark, d):
     """Prompts of ten entries each for everything the profile has not labelled, and what a client that knows nothing answers."""
     e = C.entries(spark, d, "title", "description", "content", "source_name", "source_category", "link", "published_date")
     p = machine_labels.batch_prompts(queries.unlabeled(e, table(spark, d, "labels"), C.PROFILE))
     asked = machine_labels.ask(p, lambda: machine_labels.Replay({}))
-    return asked.select("chunk_id", F.size("keys").alias("n"), F.length("prompt").alias("n_chars"), "reply", "error")
+    return asked.select("chunk_id", F.size("keys").cast("long").alias("n"), F.length("prompt").cast("long").alias("n_chars"), "reply", "error")
 
 
 def _labelled_vectors(spark, d) -> DataFrame:
@@ -125,33 +132,16 @@ def q60_train_mlp(spark, d):
 
 
 def _student(spark, d):
-    """A text student of the linear head: labels of people first, the head's for the rest."""
+    """A text student of the linear head: labels of people first, the head's for the rest. It keeps the recipe's words, accents and all, since
+    its terms are looked up among these."""
     e = C.entries(spark, d, "title", "description", "content", "source_type")
-    mine = C.labels(spark, d).where((F.col("profile_id") == C.PROFILE) & store.confirmed())
-    t = training.teacher_labels(e, mine, C.model_scores(spark, d))
-    values, vocabulary = features.fit_tfidf(e, X.full_text(), words=X.recipe_words)
-    words = [r.term for r in vocabulary.orderBy(F.col("cf").desc(), "term").select("term").collect()]  # the vocabulary is bounded
-    number = spark.createDataFrame(list(enumerate(words)), "i int, term string")
-    pairs = values.join(F.broadcast(number), "term").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
-    from pyspark.ml.linalg import Vectors, VectorUDT
-
-    n = len(words)
-    sparse = F.udf(lambda x: Vectors.sparse(n, [(r["i"], float(r["value"])) for r in x]), VectorUDT())
-    rows = t.join(pairs, KEY).select(*KEY, "label", sparse("x").alias("features"))
-    model = training.fit_logistic(rows)
-    return values, training.feature_importance(model, words), e
+    return driver.distil(e, C.labels(spark, d), C.model_scores(spark, d), C.PROFILE, C.PATTERNS, words=X.recipe_words)
 
 
 @query()
 def q61_distill_student(spark, d):
-    """A recipe distilled from the student: signed top words of each class, boosted, normalised, held within the caps."""
-    _, weights, e = _student(spark, d)
-    top = recipe.signed_top(weights.where(F.abs("weight") >= recipe.FLOOR), 200).where(~recipe.low_signal())
-    r = top.select(F.lit("keyword").alias("kind"), "term", "class", F.round("weight", 4).cast("decimal(18,4)").alias("weight"))
-    mine = C.labels(spark, d).where(F.col("profile_id") == C.PROFILE)
-    r = recipe.add_priors(recipe.reasoning_boost(r, mine), recipe.template_priors(spark, C.PATTERNS))
-    r = recipe.normalise(r, recipe.upper_median(recipe.class_scores(e, r)))
-    return recipe.stabilise(r).withColumn("weight", F.col("weight").cast("double"))
+    """A recipe distilled from the student: signed top words and source types of each class, boosted, normalised, held within the caps."""
+    return _student(spark, d)[0].withColumn("weight", F.col("weight").cast("double"))
 
 
 @query()
@@ -207,7 +197,7 @@ def q64_stream_latest_labels(spark, d):
 @query()
 def q65_explain_tfidf(spark, d):
     """What the student's words add to each entry's class."""
-    values, weights, _ = _student(spark, d)
+    _, weights, values = _student(spark, d)
     return explain.explain_linear(values, weights, C.model_scores(spark, d))
 
 

@@ -32,12 +32,15 @@ def get_spark(app: str = "tidemark", cores: str = "*", partitions: int = 8, **co
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for cut lineage.
 
-    The cluster names it in ``spark.checkpoint.dir``; only where that is unset (tests on
-    one machine) a temporary folder is made and set.
+    The cluster names it in ``spark.checkpoint.dir``; only where that is unset and all runs in one process (tests on
+    one machine) a temporary folder is made and set.  On a cluster a folder of one machine would lose rows, so there it is an error.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-ckpt-"))
     return sc.getCheckpointDir()
 
 
@@ -56,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     Later jobs then depend on no executor's disk, and nothing is computed twice: ``checkpoint()`` runs the
     plan once to count and again to write, and its files are several times larger than Parquet.  The
-    tables are removed when the driver ends.
+    tables are removed by :func:`release` or when the driver ends.
     """
     spark = df.sparkSession
     path = scratch(spark, "cut")
@@ -65,8 +68,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def _remove_written() -> None:
-    for spark, path in _WRITTEN:
+def release() -> None:
+    """Remove all tables written to the shared folder so far. A long session calls it when the results that read them are stored."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
