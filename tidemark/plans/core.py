@@ -125,11 +125,14 @@ def q03_training_set_confirmed(spark, d):
     return rows.select(*KEY, "label", "source_type", F.length(X.full_text()).cast("long").alias("n_chars"))
 
 
-@query(f"""WITH {E}, {L} SELECT l.entry_type, l.entry_id, label, reasoning, updated_at, title, link,
+_EXPORTED = ["title", "description", "content", "link", "author", "published_date", "source_name", "source_category", "source_type"]
+
+
+@query(f"""WITH {E}, {L} SELECT l.entry_type, l.entry_id, label, reasoning, created_at, updated_at, {", ".join(_EXPORTED)},
  CASE WHEN trim(coalesce(label_source, '')) <> '' THEN label_source END AS source FROM l LEFT JOIN e USING (entry_type, entry_id) WHERE l.profile_id = {PROFILE}""")
 def q04_export_labels(spark, d):
-    rows = queries.export_rows(entries(spark, d, "title", "link"), table(spark, d, "labels"), PROFILE)
-    return rows.select(*KEY, "label", "reasoning", "updated_at", "title", "link", "source")
+    rows = queries.export_rows(entries(spark, d, *_EXPORTED), table(spark, d, "labels"), PROFILE)
+    return rows.select(*KEY, "label", "reasoning", "created_at", "updated_at", *_EXPORTED, "source")
 
 
 @query(f"WITH {L} SELECT profile_id, label, count(*) AS n FROM l WHERE {OK} GROUP BY ALL")
