@@ -186,12 +186,12 @@ def q83_explanations(spark, d):
     return x.select(*KEY, "prediction", "confidence", "relevance_score", F.size("top_features").cast("long").alias("n_features"))
 
 
-@query(f"WITH {C.E}, {C.VEC}, {C.MODEL} SELECT entry_type, entry_id, list_transform(p, lambda x: round(ln(greatest(x, 1e-9)), 4)) AS logs FROM pr")
+@query(f"WITH {C.E}, {C.VEC}, {C.MODEL} SELECT entry_type, entry_id, {", ".join(f"round(ln(greatest(p[{i + 1}], 1e-9)), 4) AS log_{i}" for i in range(4))} FROM pr")
 def q83_log_probabilities(spark, d):
     from tidemark.functions.scores import log_probabilities, softmax
 
     s = C.model_logits(spark, d).select(*KEY, softmax(F.col("logits"), C.T_MODEL).alias("p"))
-    return s.select(*KEY, F.transform(log_probabilities(F.col("p")), lambda x: F.round(x, 4)).alias("logs"))
+    return s.select(*KEY, *[F.round(log_probabilities(F.col("p"))[i], 4).alias(f"log_{i}") for i in range(4)])
 
 
 @query(f"""WITH {C.E}, {C.L}, {C._MINE}, {C.VEC}, {C.MODEL} SELECT entry_type, entry_id, coalesce(mi.label, ms.predicted_label) AS label FROM e LEFT JOIN mi USING (entry_type, entry_id) LEFT JOIN ms USING (entry_type, entry_id) WHERE coalesce(mi.label, ms.predicted_label) IS NOT NULL""")
