@@ -8,8 +8,8 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import model_text
-from tidemark.operators import features, queries, recipe, training
+from tidemark.functions.text import analysed_words, full_text, model_text, recipe_words
+from tidemark.operators import features, queries, recipe, store, terms, training
 from tidemark.schemas import KEY
 from tidemark.session import cut
 
@@ -111,20 +111,48 @@ def score(entries: DataFrame, trained: Trained, config: dict, make=None) -> Data
     return training.calibrated(got, trained.temperature, blend)
 
 
-def distil(entries: DataFrame, labels: DataFrame, scores: DataFrame, profile_id: int, patterns: list[str], top_n: int = 200, words=None, iterations: int = ITERATIONS) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
-    """``(recipe, head, values)`` distilled from a model's scores: a text head learns the people's labels, else the model's; its signed top
+@dataclass
+class Student:
+    """A text head learnt from people's labels and a model's, with the words of all entries (``tokens``), the vectors of those it learnt from
+    (``vectors``, with ``class``, the model's own) and the terms of their places."""
+
+    tokens: DataFrame
+    vectors: DataFrame
+    terms: list[str]
+    head: DataFrame
+
+
+def student(entries: DataFrame, labels: DataFrame, scores: DataFrame, profile_id: int, words=None, iterations: int = ITERATIONS) -> Student | None:
+    """None with fewer than ``STUDENT_LEAST`` rows to learn from. Texts are taken apart once, and no term of a text is shuffled on its own
+    except in the counts of the vocabulary."""
+    words = words or analysed_words
+    mine = queries.current_labels(labels).where((F.col("profile_id") == profile_id) & store.confirmed())
+    rows = training.teacher_labels(entries, mine, scores, every=True)
+    tokens = cut(rows.select(*KEY, "source_type", training.source_name().alias("source"), "label", "class", words(full_text()).alias("words")))
+    known = tokens.where("label IS NOT NULL")
+    n = known.count()
+    if n < STUDENT_LEAST:
+        return None
+    counts = cut(terms.term_frequencies(known))
+    vocabulary = features.vocabulary(counts, n).collect() or features.vocabulary(counts, n, 1, 1.0, 5000).collect()
+    vocabulary = sorted((r.term, r.idf) for r in vocabulary)  # 10,000 at most
+    sources = sorted(r.source for r in known.select("source").distinct().collect())
+    texts = [t for t, _ in vocabulary]
+    plain, vectors = training.stored_vectors(terms.tfidf_vectors(known, texts, [x for _, x in vocabulary], sources, [*KEY, "label", "class"]))
+    names = texts + [training.SOURCE_TERM + s for s in sources]
+    return Student(tokens, plain, names, training.fit_vectors(vectors, names, iterations))
+
+
+def distil(entries: DataFrame, labels: DataFrame, scores: DataFrame, profile_id: int, patterns: list[str], top_n: int = 200, words=None, iterations: int = ITERATIONS) -> tuple[DataFrame | None, DataFrame | None, Student | None]:
+    """``(recipe, head, student)`` distilled from a model's scores: a text head learns the people's labels, else the model's; its signed top
     terms, source types included, boosted by reasons, with the template phrases and patterns, normalised and held within the caps.
 
     None with fewer than ``STUDENT_LEAST`` rows to learn from.
     """
-    mine = queries.training_rows(entries.select(*KEY), labels, profile_id)
-    rows = cut(training.teacher_labels(entries, mine, scores))
-    if rows.count() < STUDENT_LEAST:
+    learnt = student(entries, labels, scores, profile_id, words, iterations)
+    if learnt is None:
         return None, None, None
-    values, _ = training.text_values(rows, words=words)
-    values = cut(values)
-    head = training.fit_text_head(rows, values, iterations)
-    top = recipe.signed_top(head.where(f"abs(weight) >= {recipe.FLOOR} AND term != ''"), top_n)
+    top = recipe.signed_top(learnt.head.where(f"abs(weight) >= {recipe.FLOOR} AND term != ''"), top_n)
     source = F.startswith("term", F.lit(training.SOURCE_TERM))
     kind = F.when(source, "source").otherwise("keyword")
     term = F.when(source, F.substring("term", len(training.SOURCE_TERM) + 1, 1000)).otherwise(F.col("term"))
@@ -132,5 +160,6 @@ def distil(entries: DataFrame, labels: DataFrame, scores: DataFrame, profile_id:
     spark = entries.sparkSession
     reasons = labels.where(F.col("profile_id") == profile_id)
     r = cut(recipe.add_priors(recipe.reasoning_boost(r, reasons), recipe.template_priors(spark, patterns)))
-    r = recipe.normalise(r, recipe.upper_median(recipe.class_scores(entries, r)))
-    return recipe.stabilise(r), head, values
+    scored = recipe.class_scores_of_tokens(learnt.tokens, r) if words is recipe_words else None
+    r = recipe.normalise(r, recipe.upper_median(scored if scored is not None else recipe.class_scores(entries, r)))
+    return recipe.stabilise(r), learnt.head, learnt

@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import label_display
 from tidemark.operators.recipe import contributions
+from tidemark.operators.terms import largest_products
 from tidemark.schemas import CLASSES, KEY
 from tidemark.session import cut
 
 ROWS, LEAST, CLASS_ROWS_BELOW, POSITIVE_ABOVE = 8, 0.001, 4, 0.25
 
 
-def explain_linear(values: DataFrame, weights: DataFrame, scores: DataFrame, n: int = ROWS, least: float = LEAST) -> DataFrame:
-    """``(key, rank, feature, weight, direction)``: coefficient times value for the predicted class, the n largest."""
-    j = values.join(scores.select(*KEY, F.col("predicted_label").alias("class")), KEY).join(weights, ["class", "term"])
-    c = j.select(*KEY, F.col("term").alias("feature"), F.round(F.col("value") * F.col("weight"), 4).alias("weight")).where(F.abs("weight") > least)
-    rank = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.abs("weight").desc(), "feature"))
-    return c.withColumn("rank", rank).where(F.col("rank") <= n).select(*KEY, "rank", "feature", "weight", F.when(F.col("weight") > 0, "positive").otherwise("negative").alias("direction"))
+def explain_linear(vectors: DataFrame, terms: list[str], weights: DataFrame, n: int = ROWS, least: float = LEAST) -> DataFrame:
+    """``(key, rank, feature, weight, direction)``: coefficient times value for the predicted class, the n largest.
+
+    ``vectors``: the key, ``class`` and the stored form of MLlib's vectors over ``terms``. All that concerns an entry is in its row.
+    """
+    at = {t: i for i, t in enumerate(terms)}
+    w = np.zeros((len(CLASSES), len(terms)))
+    for r in weights.where("term != ''").collect():  # as many as the head's coefficients
+        w[CLASSES.index(r["class"]), at[r["term"]]] = r["weight"]
+    c = largest_products(vectors.where("class IS NOT NULL"), w, terms, CLASSES, n, least)
+    rounded = F.transform("c", lambda x: F.struct(F.round(x["weight"], 4).alias("weight"), x["feature"].alias("feature")))
+    ranked = F.transform(F.filter(rounded, lambda x: F.abs(x["weight"]) > least), lambda x: F.struct((-F.abs(x["weight"])).alias("o"), x["feature"].alias("feature"), x["weight"].alias("weight")))
+    top = c.select(*KEY, F.posexplode(F.slice(F.sort_array(ranked), 1, n)).alias("rank", "x"))
+    return top.select(*KEY, (F.col("rank") + 1).alias("rank"), "x.feature", "x.weight", F.when(F.col("x.weight") > 0, "positive").otherwise("negative").alias("direction"))
 
 
 def explain_recipe(entries: DataFrame, recipe: DataFrame, scores: DataFrame) -> DataFrame:

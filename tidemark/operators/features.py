@@ -26,7 +26,11 @@ def term_counts(entries: DataFrame, text: Column, lengths: tuple[int, ...] = (1,
 def document_frequencies(counts: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
     """``(term, df, cf, idf)``: terms in at least ``min_df`` entries and at most the share ``max_df``, of these the ``max_features`` most
     frequent (ties by term); ``idf = ln((1 + n) / (1 + df)) + 1``."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return vocabulary(counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")), n_docs, min_df, max_df, max_features)
+
+
+def vocabulary(df: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.95, max_features: int = 10_000) -> DataFrame:
+    """The same from ``(term, df, cf)``."""
     df = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs)).orderBy(F.col("cf").desc(), "term").limit(max_features)
     return df.withColumn("idf", F.log((1.0 + n_docs) / (F.col("df") + 1.0)) + 1.0)
 

@@ -6,12 +6,14 @@ Decimal sums make scores exact and independent of order.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scores import argmax, clip, relevance, softmax
 from tidemark.functions.text import blank, full_text, ngrams, recipe_words, space_words, strip_metacharacters
+from tidemark.operators.terms import weighted_sums
 from tidemark.schemas import CLASSES, DECIMAL, KEY
 from tidemark.session import cut
 
@@ -23,6 +25,8 @@ PATTERN_LEAD, PATTERN_IMPORTANT = 0.35, 0.15
 BOOST_LIMIT = 1_000_000_000  # boosts compound with every mention; decimals need a bound
 
 BROADCAST_ROWS = 100_000
+#: Terms that travel to the workers as arrays, some 50 bytes each.
+LOOKUP_TERMS = 1 << 20
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -90,13 +94,37 @@ def hits(entries: DataFrame, recipe: DataFrame, tokenizer: str = "recipe") -> Da
 def class_scores(entries: DataFrame, recipe: DataFrame, tokenizer: str = "recipe") -> DataFrame:
     """``(key, <one decimal column a class>)`` of every entry: keyword occurrences times weight, plus the source's weight."""
     zero = F.lit(0).cast(DECIMAL)
-    by_class = lambda c, x: F.sum(F.when(F.col("class") == c, x).otherwise(zero)).cast(DECIMAL)
-    per = hits(entries, recipe, tokenizer).groupBy(*KEY).agg(*[by_class(c, (F.col("weight") * F.col("n")).cast(DECIMAL)).alias(f"__w_{c}") for c in CLASSES])
-    sources = recipe.where("kind = 'source'").groupBy(F.col("term").alias("source_type")).agg(*[by_class(c, F.col("weight")).alias(f"__s_{c}") for c in CLASSES])
-    every = entries.select(*KEY, "source_type").join(small(sources), "source_type", "left").join(per, KEY, "left")
+    per = hits(entries, recipe, tokenizer).groupBy(*KEY).agg(*[_by_class(c, (F.col("weight") * F.col("n")).cast(DECIMAL)).alias(f"__w_{c}") for c in CLASSES])
+    every = _with_source(entries, recipe).join(per, KEY, "left")
     return every.select(*KEY, *[(F.coalesce(f"__w_{c}", zero) + F.coalesce(f"__s_{c}", zero)).cast(DECIMAL).alias(c) for c in CLASSES])
 
 
+def _by_class(c: str, x: Column) -> Column:
+    return F.sum(F.when(F.col("class") == c, x).otherwise(F.lit(0).cast(DECIMAL))).cast(DECIMAL)
+
+
+def _with_source(entries: DataFrame, recipe: DataFrame, *keep: str) -> DataFrame:
+    """The key, ``keep`` and what an entry's source adds to each class."""
+    sources = recipe.where("kind = 'source'").groupBy(F.col("term").alias("source_type")).agg(*[_by_class(c, F.col("weight")).alias(f"__s_{c}") for c in CLASSES])
+    return entries.select(*KEY, "source_type", *keep).join(small(sources), "source_type", "left")
+
+
+def class_scores_of_tokens(tokens: DataFrame, recipe: DataFrame) -> DataFrame:
+    """``class_scores`` of entries whose recipe words are taken apart already (key, ``source_type``, ``words``): one pass over the words,
+    with no shuffle; None for a recipe of more than ``LOOKUP_TERMS`` keywords."""
+    # ten-thousandths, so sums are exact
+    whole = lambda c: F.coalesce(F.sum(F.when(F.col("class") == c, (F.col("weight") * 10_000).cast("long"))), F.lit(0)).alias(c)
+    rows = recipe.where("kind = 'keyword'").groupBy("term").agg(*[whole(c) for c in CLASSES]).limit(LOOKUP_TERMS + 1).toArrow()
+    if rows.num_rows > LOOKUP_TERMS:
+        return None
+    terms, weights = rows["term"].combine_chunks().cast(pa.string()), np.column_stack([rows[c].to_numpy() for c in CLASSES])
+    sums = [f"__n_{c}" for c in CLASSES]
+    per = weighted_sums(tokens, terms, weights, sums, [*KEY, "source_type"])
+    zero, unit = F.lit(0).cast(DECIMAL), F.lit("0.0001").cast("decimal(4,4)")
+    every = _with_source(per, recipe, *sums)
+    return every.select(*KEY, *[((F.col(f"__n_{c}").cast("decimal(19,0)") * unit).cast(DECIMAL) + F.coalesce(f"__s_{c}", zero)).cast(DECIMAL).alias(c) for c in CLASSES])
+
+
 def recipe_scores(entries: DataFrame, recipe: DataFrame, tokenizer: str = "recipe") -> DataFrame:
     """``(key, relevance_score, predicted_label, p_<class>)``; an entry without a hit has equal probabilities."""
     s = class_scores(entries, recipe, tokenizer)

@@ -6,10 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexerModel, VectorSlicer
+from pyspark.ml.feature import StandardScaler, StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from tidemark.functions.scores import argmax, lead_blend, log_probabilities, relevance, softmax, temperature_grid, time_decay
 from tidemark.functions.text import blank
@@ -136,43 +138,56 @@ def text_values_by(entries: DataFrame, vocabulary: DataFrame, lengths: tuple[int
     return tfidf(counts, vocabulary).select(*KEY, "term", "value").unionByName(_source_values(entries))
 
 
+def source_name() -> Column:
+    """An entry's source type, ``unknown`` where it has none."""
+    return F.coalesce(F.nullif("source_type", F.lit("")), F.lit("unknown"))
+
+
 def _source_values(entries: DataFrame) -> DataFrame:
-    name = F.coalesce(F.nullif("source_type", F.lit("")), F.lit("unknown"))
-    return entries.select(*KEY, F.concat(F.lit(SOURCE_TERM), name).alias("term"), F.lit(1.0).alias("value"))
+    return entries.select(*KEY, F.concat(F.lit(SOURCE_TERM), source_name()).alias("term"), F.lit(1.0).alias("value"))
 
 
 def fit_text_head(rows: DataFrame, values: DataFrame, iterations: int = 1000) -> DataFrame:
     """``(class, term, weight)`` of a class-balanced logistic head over ``values``; the intercepts have the empty term.
 
-    ``rows``: key, ``label`` and, if any, ``weight``.  The sparse vectors go to MLlib as a libsvm table in the shared folder, so no row passes
-    through Python; the vocabulary is bounded (``text_values``) and numbered on the driver.
+    ``rows``: key, ``label`` and, if any, ``weight``.  The vocabulary is bounded (``text_values``) and numbered on the driver.
     """
     spark = rows.sparkSession
     known = rows.where(F.col("label").isin(HEAD_CLASSES))
     mine = values.join(known.select(*KEY), KEY, "left_semi")
     terms = [r.term for r in mine.select("term").distinct().orderBy("term").collect()]
-    number = F.broadcast(spark.createDataFrame(pa.table({"i": pa.array(range(1, len(terms) + 1), pa.int32()), "term": pa.array(terms, pa.string())})))
+    number = F.broadcast(spark.createDataFrame(pa.table({"i": pa.array(range(len(terms)), pa.int32()), "term": pa.array(terms, pa.string())})))
     x = mine.join(number, "term").groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("x"))
-    data = class_balanced(known, "label", "weight" if "weight" in rows.columns else None).join(x, KEY, "left")
-    # a row's weight is a feature of its own on the way through the file
-    y = (F.array_position(F.array(*[F.lit(c) for c in HEAD_CLASSES]), F.col("label")) - 1).cast("string")
-    pairs = F.transform(F.coalesce("x", F.array().cast("array<struct<i:int,value:double>>")), lambda e: F.concat_ws(":", e["i"], e["value"]))
-    line = F.concat_ws(" ", y, F.array_join(pairs, " "), F.concat(F.lit(f"{len(terms) + 1}:"), F.col("w").cast("string")))
-    path = scratch(spark, "libsvm")
-    data.select(line.alias("value")).write.text(path)
-    read = spark.read.format("libsvm").option("numFeatures", len(terms) + 1).load(path)
-    parts = VectorSlicer(inputCol="features", outputCol="w", indices=[len(terms)]).transform(read)
-    parts = parts.withColumn("w", vector_to_array("w")[0])
-    if not terms or parts.select("label").distinct().count() < 2:
+    some = F.coalesce("x", F.array().cast("array<struct<i:int,value:double>>"))
+    vector = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(len(terms)).alias("size"), F.transform(some, lambda e: e["i"]).alias("indices"), F.transform(some, lambda e: e["value"]).alias("values"))
+    data = known.join(x, KEY, "left").select("label", *(["weight"] if "weight" in rows.columns else []), vector.alias("features"))
+    return fit_vectors(stored_vectors(data)[1], terms, iterations)
+
+
+def stored_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with ``features`` in MLlib's stored form, written to the shared folder and read back twice: as they are, and as MLlib's
+    vectors, so no row passes through Python."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession, "vectors")
+    rows.write.parquet(path)
+    typed = StructType([StructField(f.name, VectorUDT() if f.name == "features" else f.dataType) for f in rows.schema])
+    return spark.read.schema(rows.schema).parquet(path), spark.read.schema(typed).parquet(path)
+
+
+def fit_vectors(rows: DataFrame, names: list[str], iterations: int = 1000) -> DataFrame:
+    """The head of ``fit_text_head`` from ``label``, ``features`` and, if any, ``weight``; ``names`` has the features' terms."""
+    spark = rows.sparkSession
+    data = class_balanced(rows.where(F.col("label").isin(HEAD_CLASSES)), "label", "weight" if "weight" in rows.columns else None)
+    y = (F.array_position(F.array(*[F.lit(c) for c in HEAD_CLASSES]), F.col("label")) - 1).cast("double")
+    data = data.select(y.alias("y"), "w", "features")
+    seen = data.agg(F.countDistinct("y").alias("k"), F.sum("w").alias("t")).first()
+    if not names or seen["k"] < 2:
         return spark.createDataFrame([], "class string, term string, weight double")
-    total = parts.agg(F.sum("w").alias("t")).first()["t"]
-    sliced = VectorSlicer(inputCol="features", outputCol="x", indices=list(range(len(terms)))).transform(parts).select("label", "w", "x")
-    lr = LogisticRegression(featuresCol="x", weightCol="w", family="multinomial", standardization=False, regParam=1.0 / total, maxIter=iterations, tol=1e-6)
-    m = lr.fit(sliced)
+    lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", family="multinomial", standardization=False, regParam=1.0 / seen["t"], maxIter=iterations, tol=1e-6)
+    m = lr.fit(data)
     c, b = m.coefficientMatrix.toArray(), m.interceptVector.toArray()
-    names = [HEAD_CLASSES[i] for i in range(len(c))]
+    classes = [HEAD_CLASSES[i] for i in range(len(c))]
     at = [(i, j) for i in range(len(c)) for j in np.flatnonzero(c[i])]
-    cols = [[names[i] for i, _ in at] + names, [terms[j] for _, j in at] + [""] * len(names), [float(c[i, j]) for i, j in at] + b.tolist()]
+    cols = [[classes[i] for i, _ in at] + classes, [names[j] for _, j in at] + [""] * len(classes), [float(c[i, j]) for i, j in at] + b.tolist()]
     return spark.createDataFrame(pa.table({"class": pa.array(cols[0], pa.string()), "term": pa.array(cols[1], pa.string()), "weight": pa.array(cols[2], pa.float64())}))
 
 
@@ -243,9 +258,10 @@ def feature_importance(model: PipelineModel, vocabulary: list[str]) -> DataFrame
     return SparkSession.active().createDataFrame(rows, "class string, term string, weight double")
 
 
-def teacher_labels(entries: DataFrame, labels: DataFrame, scores: DataFrame) -> DataFrame:
-    """Labels to learn from: a person's where there is one, else the model's prediction."""
+def teacher_labels(entries: DataFrame, labels: DataFrame, scores: DataFrame, every: bool = False) -> DataFrame:
+    """Labels to learn from: a person's where there is one, else the model's prediction. ``every`` keeps entries without either, and the
+    model's prediction as ``class``."""
     h = labels.select(*KEY, F.col("label").alias("__h"))
-    s = scores.select(*KEY, F.col("predicted_label").alias("__s"))
-    j = entries.join(h, KEY, "left").join(s, KEY, "left")
-    return j.withColumn("label", F.coalesce("__h", "__s")).drop("__h", "__s").where("label IS NOT NULL")
+    s = scores.select(*KEY, F.col("predicted_label").alias("class"))
+    j = entries.join(h, KEY, "left").join(s, KEY, "left").withColumn("label", F.coalesce("__h", "class")).drop("__h")
+    return j if every else j.drop("class").where("label IS NOT NULL")

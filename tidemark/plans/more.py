@@ -131,17 +131,17 @@ def q60_train_mlp(spark, d):
     return _evaluated(model, test, test)
 
 
-def _student(spark, d):
-    """A text student of the linear head: labels of people first, the head's for the rest. It keeps the recipe's words, accents and all, since
-    its terms are looked up among these."""
+def _lesson(spark, d):
+    """What a text student of the linear head learns from: labels of people first, the head's for the rest. It keeps the recipe's words,
+    accents and all, since its terms are looked up among these."""
     e = C.entries(spark, d, "title", "description", "content", "source_type")
-    return driver.distil(e, C.labels(spark, d), C.model_scores(spark, d), C.PROFILE, C.PATTERNS, words=X.recipe_words)
+    return e, C.labels(spark, d), C.model_scores(spark, d), C.PROFILE
 
 
 @query()
 def q61_distill_student(spark, d):
     """A recipe distilled from the student: signed top words and source types of each class, boosted, normalised, held within the caps."""
-    return _student(spark, d)[0].withColumn("weight", F.col("weight").cast("double"))
+    return driver.distil(*_lesson(spark, d), C.PATTERNS, words=X.recipe_words)[0].withColumn("weight", F.col("weight").cast("double"))
 
 
 @query()
@@ -197,8 +197,8 @@ def q64_stream_latest_labels(spark, d):
 @query()
 def q65_explain_tfidf(spark, d):
     """What the student's words add to each entry's class."""
-    _, weights, values = _student(spark, d)
-    return explain.explain_linear(values, weights, C.model_scores(spark, d))
+    learnt = driver.student(*_lesson(spark, d), words=X.recipe_words)
+    return explain.explain_linear(learnt.vectors, learnt.terms, learnt.head)
 
 
 @query(f"""WITH {C.E} SELECT entry_type, entry_id, CASE WHEN length(title) > 300 THEN left(title, 300) || '...' ELSE title END AS title, left(published_date, 10) AS day,
