@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tidemark.functions.text import full_text, recipe_words
-from tidemark.operators import features, recipe, terms, training
+from tidemark.operators import driver, explain, features, recipe, terms, training
 from tidemark.schemas import CLASSES, KEY
 from tidemark.session import cut
 
@@ -83,6 +83,22 @@ def test_a_recipe_too_large_to_look_up_is_left_to_the_join(spark, entries, monke
     assert recipe.class_scores_of_tokens(tokens(entries), r) is None
 
 
+def test_explanation_by_brute_force(spark):
+    rng, names = random.Random(5), [f"t{i}" for i in range(30)]
+    w = {(c, t): rng.choice([-1, 1]) * rng.choice([0.0005, 0.02, 0.5, 0.50004, rng.random()]) for c in CLASSES for t in names if rng.random() < 0.8}
+    rows, want = [], set()
+    for k in range(60):
+        at = sorted(rng.sample(range(30), rng.randint(0, 30)))
+        values, c = [rng.choice([1.0, 0.5, rng.random()]) for _ in at], rng.choice([*CLASSES, None])
+        rows.append(("mail", k, c, (0, 30, at, values)))
+        adds = [(round(v * w.get((c, names[i]), 0.0), 4), names[i]) for i, v in zip(at, values)]
+        for rank, (x, t) in enumerate(sorted((a for a in adds if abs(a[0]) > 0.001), key=lambda a: (-abs(a[0]), a[1]))[:8], 1):
+            want.add(("mail", k, rank, t, x, "positive" if x > 0 else "negative"))
+    vectors = spark.createDataFrame(rows, f"entry_type string, entry_id long, class string, features {terms.VECTOR}")
+    head = spark.createDataFrame([(*k, x) for k, x in w.items()] + [("noise", "", 9.0)], "class string, term string, weight double")
+    assert {tuple(r) for r in explain.explain_linear(vectors, names, head).collect()} == want
+
+
 def test_q61_takes_texts_apart_once(spark, data, monkeypatch):
     """Before, every use of the texts was a table of all their terms."""
     import __spark_entry__
@@ -94,3 +110,15 @@ def test_q61_takes_texts_apart_once(spark, data, monkeypatch):
         monkeypatch.setattr(module, name, never)
     r = __spark_entry__.queries()["q61_distill_student"](spark, data)
     assert r.columns == ["kind", "term", "class", "weight"] and r.count() > 0
+
+
+def test_q65_makes_no_recipe(spark, data, monkeypatch):
+    """Before, it also boosted, normalised and capped a recipe that it did not read."""
+    import __spark_entry__
+
+    def never(*_, **__):
+        raise AssertionError("a recipe")
+
+    monkeypatch.setattr(driver.recipe, "reasoning_boost", never)
+    r = __spark_entry__.queries()["q65_explain_tfidf"](spark, data)
+    assert r.columns == [*KEY, "rank", "feature", "weight", "direction"] and r.where("rank = 1").count() > 0
